@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from .decontaminate import decontaminate_query
+from .language import language_query
+from .mixing import MIXING_SQL, mixing_query
+from .quality import quality_query
+from .secrets import SECRETS_SQL, secrets_query
 from .simhash import simhash_query
+from .tokens import tokens_query
 
 QUERIES = {
+    "op1_tokens": tokens_query,
+    "op2_mixing": mixing_query,
+    "op3_secrets": secrets_query,
     "op4_simhash": simhash_query,
+    "op6_decontaminate": decontaminate_query,
+    "op7_language": language_query,
+    "op10_quality": quality_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": MIXING_SQL,
+    "op3_secrets": SECRETS_SQL,
+}
