@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import decontaminate_query
 from .language import language_query
+from .linededup import linededup_query
 from .mixing import MIXING_SQL, mixing_query
 from .quality import quality_query
 from .secrets import SECRETS_SQL, secrets_query
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mixing": mixing_query,
     "op3_secrets": secrets_query,
     "op4_simhash": simhash_query,
+    "op5_linededup": linededup_query,
     "op6_decontaminate": decontaminate_query,
     "op7_language": language_query,
     "op10_quality": quality_query,
