@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import graph_queries
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+for _part in (graph_queries,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
