@@ -271,7 +271,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: i
     lines = lines.join(label.withColumnRenamed("node", "h1"), "h1", "left")
     grouped = lines.where("label is not null")
     first = grouped.groupBy("label").agg(F.min("same").alias("first"))
-    lines = lines.join(first, "label", "left").select("h1", "h2", "same", F.coalesce("first", "same").alias("first"))
+    # most lines have no label; in a join on it they would all be one key
+    alone = lines.where("label is null").select("h1", "h2", "same", F.col("same").alias("first"))
+    lines = grouped.join(first, "label").select("h1", "h2", "same", "first").unionByName(alone)
     gone = occ.join(lines, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
     return gone.select("id", "number", at.eqNullSafe(F.col("same")).alias("near"))
 
