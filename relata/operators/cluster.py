@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import materialize
+
 # fixed values: title words without a topic
 STOP = "the a an of and or to in on for is are was with that this it as by from at der die das und oder ein eine in im auf mit von zu fuer ist sind war den dem des als bei aus nach vor durch ueber um beim zur zum".split()
 
@@ -38,17 +40,20 @@ def _sums(df: DataFrame, vec: str, centers: np.ndarray) -> tuple[np.ndarray, np.
     return np.array([[r[f"t{i}"] for i in range(d)] for r in rows]), np.array([r["size"] for r in rows]), sum(r["cost"] for r in rows)
 
 
+def _nearest(c: np.ndarray):
+    @F.pandas_udf("double")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series(np.round((np.stack([np.asarray(x, float) for x in v]) @ c.T).max(axis=1), 12))
+
+    return nearest
+
+
 def seeds(df: DataFrame, k: int, id_col: str, vec: str) -> np.ndarray:
     """Farthest-point seeding: the row of least id, then always the row least like its nearest seed."""
     centers = [df.orderBy(id_col).select(vec).first()[0]]
     while len(centers) < k:
-        c = np.array(centers, float)
-
-        @F.pandas_udf("double")
-        def nearest(v: pd.Series, c=c) -> pd.Series:
-            return pd.Series(np.round((np.stack([np.asarray(x, float) for x in v]) @ c.T).max(axis=1), 12))
-
-        centers.append(df.select(id_col, vec, nearest(vec).alias("s")).orderBy("s", id_col).select(vec).first()[0])
+        near = _nearest(np.array(centers, float))
+        centers.append(df.select(id_col, vec, near(vec).alias("s")).orderBy("s", id_col).select(vec).first()[0])
     return np.array(centers, float)
 
 
@@ -58,6 +63,7 @@ def kmeans(df: DataFrame, k: int, id_col: str = "vec_id", vec: str = "vec", roun
     Only k centres and k sums a task travel. An empty cluster keeps its centre; ties go to the lower
     index; it stops when no sum changes.
     """
+    df = materialize(df.select(id_col, vec), "vectors")
     centers, costs, last = seeds(df, k, id_col, vec), [], None
     for _ in range(rounds):
         total, size, cost = _sums(df, vec, centers)
@@ -68,11 +74,13 @@ def kmeans(df: DataFrame, k: int, id_col: str = "vec_id", vec: str = "vec", roun
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         centers = np.where((size[:, None] > 0) & (norm > 0), total / np.where(norm > 0, norm, 1), centers)
 
-    @F.pandas_udf("int")
-    def assign(v: pd.Series) -> pd.Series:
-        return pd.Series(np.round(np.stack([np.asarray(x, float) for x in v]) @ centers.T, 12).argmax(axis=1))
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                s = np.round(np.stack([np.asarray(v, float) for v in b[vec]]) @ centers.T, 12)
+                yield pd.DataFrame({id_col: b[id_col], "cluster": s.argmax(axis=1).astype(np.int32)})
 
-    return df.select(id_col, assign(vec).alias("cluster")), centers, costs
+    return df.select(id_col, vec).mapInPandas(assign, f"{id_col} {dict(df.dtypes)[id_col]}, cluster int"), centers, costs
 
 
 def components(df: DataFrame, n: int = 2, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +107,13 @@ def project(df: DataFrame, id_col: str = "vec_id", vec: str = "vec") -> DataFram
     """(id, x, y) in [0, 1]: two principal components, min-max scaled over all rows."""
     mean, comps = components(df, 2, vec)
 
-    @F.pandas_udf("array<double>")
-    def at(v: pd.Series) -> pd.Series:
-        return pd.Series(list((np.stack([np.asarray(x, float) for x in v]) - mean) @ comps.T))
+    def at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = (np.stack([np.asarray(v, float) for v in b[vec]]) - mean) @ comps.T
+                yield pd.DataFrame({id_col: b[id_col], "x": x[:, 0], "y": x[:, 1]})
 
-    p = df.select(id_col, at(vec).alias("p")).select(id_col, F.element_at("p", 1).alias("x"), F.element_at("p", 2).alias("y"))
+    p = df.select(id_col, vec).mapInPandas(at, f"{id_col} {dict(df.dtypes)[id_col]}, x double, y double")
     r = p.agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
     scaled = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0)
     return p.crossJoin(F.broadcast(r)).select(id_col, scaled("x").alias("x"), scaled("y").alias("y"))
