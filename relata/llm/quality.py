@@ -121,8 +121,11 @@ def choose(frame: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid
                 continue
             values, tested = good[rule].to_numpy(), kept[rule].to_numpy()
             spare = np.concatenate(([0.0], np.geomspace(1e-4, 0.05, grid - 1)))
-            path = np.unique(np.quantile(values, 1 - spare, method="higher"))[::-1]
-            best = (0.0, None)
+            # above all good values, as lenient as the bad ones allow
+            beyond = np.linspace(values.max(), max(values.max(), bad[rule].max()), grid, endpoint=False)
+            path = np.unique(np.concatenate((beyond, np.quantile(values, 1 - spare, method="higher"))))[::-1]
+            # a gain from a few bad documents may be chance
+            best = (max(3.0, 0.01 * len(bad)), None)
             for cut in path:
                 gone = int((tested > cut).sum())
                 if binomial_tail(gone, len(tested), alpha / len(RULES)) > level:
