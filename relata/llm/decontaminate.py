@@ -24,8 +24,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import words
 from .common import WORD, table
 
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 8), (0, 1, 4, 6, 7, 9))
-SPAN = 1 + max(max(m) for m in MASKS)
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 5, 7), (0, 2, 4, 5, 8), (0, 1, 4, 7, 8))
+#: Shorter items have a mask for each word that they may lack; at a similarity of 0.8 that is all they may.
+SPAN = 10
 MIN_WORDS = 5
 WINDOW = 20
 SIMILARITY = 0.8
@@ -42,10 +43,15 @@ class Index:
         self.tables: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]] = []
         n = w.n
         short = sorted({int(x) for x in n if MIN_WORDS <= x < SPAN})
-        for mask in (*MASKS, *(tuple(range(x)) for x in short)):
+        masks = [(m, 0, n >= SPAN) for m in MASKS]
+        for x in short:
+            for lost in range(x):
+                m = [k for k in range(x) if k != lost]
+                masks.append((tuple(k - m[0] for k in m), m[0], n == x))
+        for mask, lead, mine in masks:
             keys, at = [], []
-            for i in np.flatnonzero(n == len(mask) if mask not in MASKS else n >= SPAN):
-                a, b = self.first[i], self.first[i + 1]
+            for i in np.flatnonzero(mine):
+                a, b = self.first[i] + lead, self.first[i + 1]
                 g = words.gram_hashes(self.h[a:b], list(mask))
                 keys.append(g)
                 at.append(np.arange(a, a + len(g)))
