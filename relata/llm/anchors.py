@@ -87,14 +87,19 @@ def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), x.shape[1], same.argmin(axis=1))
 
 
+def _owned(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return words.mixed(keys) + words.mixed(owner.astype(np.uint64) + np.uint64(1))
+
+
 Anchor = Callable[[pa.Array], tuple[words.Words, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
 
 
-def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int = 0, width: int = 3, block: int = words.BLOCK_BYTES) -> DataFrame:
+def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int = 0, width: int = 3, block: int = words.BLOCK_BYTES, only: str | None = None) -> DataFrame:
     """(key, id, at) of every anchor of every text, with its contexts (back, ahead) if ``reach``.
 
     ``anchor`` gives the words of a block, their hashes, and lists of (positions, keys, spans); what a
-    span means is the caller's business.
+    span means is the caller's business. ``only`` names a column with the keys wanted of each text.
     """
     names = ["key", "id", "at", *(["span", "back", "ahead"] if reach else [])]
     kind = dict(docs.dtypes)[id_col]
@@ -103,6 +108,15 @@ def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int
         for batch in batches:
             for b in words.blocks(batch, "__text", block):
                 w, h, found = anchor(b.column("__text"))
+                if only:
+                    lists = b.column("__only")
+                    size = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+                    wanted = _owned(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(size)), size))
+                    kept = []
+                    for at, keys, spans in found:
+                        ok = np.isin(_owned(keys, np.searchsorted(w.first, at, "right") - 1), wanted)
+                        kept.append((at[ok], keys[ok], spans[ok]))
+                    found = kept
                 for all_at, all_keys, all_spans in found:
                     for lo in range(0, len(all_at), 20_000):
                         at, keys = all_at[lo : lo + 20_000], all_keys[lo : lo + 20_000]
@@ -113,17 +127,26 @@ def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int
                             cols += map(binary, contexts(h, w.first, owner, at, reach, width))
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("__text"))
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("__text"), *([F.col(only).alias("__only")] if only else []))
     return frame.mapInArrow(run, f"key long, id {kind}, at long" + (", span int, back binary, ahead binary" if reach else ""))
 
 
 def repeated(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int, width: int, name: str, block: int = words.BLOCK_BYTES) -> DataFrame:
-    """Anchors with contexts whose key more than one document has, written to the shared folder."""
+    """Anchors with contexts whose key more than one document has, written to the shared folder.
+
+    Up to BROADCAST_KEYS such keys are broadcast; more meet the anchors, without contexts, in a join.
+    """
     keys = anchored(docs, anchor, id_col, text, block=block).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     keys = materialize(keys.where("a <> b").select("key"), f"{name}-keys")
-    small = keys.count() <= BROADCAST_KEYS
-    rows = anchored(docs, anchor, id_col, text, reach, width, block)
-    return materialize(rows.join(F.broadcast(keys) if small else keys, "key", "left_semi"), f"{name}-rows")
+    if keys.count() <= BROADCAST_KEYS:
+        rows = anchored(docs, anchor, id_col, text, reach, width, block).join(F.broadcast(keys), "key", "left_semi")
+    else:
+        # contexts are large: shuffle anchors without them, then take the texts to their own repeated keys
+        light = anchored(docs, anchor, id_col, text, block=block).select("key", "id").distinct().join(keys, "key", "left_semi")
+        mine = light.groupBy(F.col("id").alias("__id")).agg(F.collect_list("key").alias("__keys"))
+        held = docs.select(id_col, text).join(mine, F.col(id_col).eqNullSafe(F.col("__id")))
+        rows = anchored(held, anchor, id_col, text, reach, width, block, "__keys")
+    return materialize(rows, f"{name}-rows")
 
 
 def neighbours(rows: DataFrame, order: list[str], judge: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], reach: int, width: int, near: int = 1) -> DataFrame:

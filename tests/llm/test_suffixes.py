@@ -60,3 +60,14 @@ def test_repeats_match_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert anchors.merged(suffixes.repeats(df), "doc_id").collect() == []
+
+
+def test_without_broadcast(spark, monkeypatch):
+    from relata.llm import passages
+
+    df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in corpus(n=30)], SCHEMA)
+    for f in (suffixes.repeats, passages.repeats):
+        want = sorted(map(tuple, f(df).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(anchors, "BROADCAST_KEYS", 0)
+            assert sorted(map(tuple, f(df).collect())) == want
