@@ -8,7 +8,7 @@ of ``min_fuzzy`` characters or more are near-equal at an edit distance of ``tau`
   untouched, so each goes to an index keyed by its number, the line's length and its hash;
 * every line probes the lengths from its own down to tau less, for each segment only at the places
   that the difference in length and the segment's number leave possible;
-* rows of a key meet in sorted order and are paired if 16 character counts allow the distance; a
+* rows of a key meet in sorted order and are paired if the counts of 16 classes of characters allow the distance; a
   pair is then verified on the texts by banded bit-parallel edit distance.
 
 Links of near-equal lines form groups; of each group the first line by (id, number of the line)
@@ -68,7 +68,10 @@ class Lines:
         at = np.concatenate(([0], np.cumsum(width)))
         utf8 = np.frombuffer(joined.encode(), np.uint8)
         self.h1 = words.xxh64(utf8, at[self.start], at[self.end], 42).view(np.int64)
-        self.h2 = words.xxh64(utf8, at[self.start], at[self.end], 7).view(np.int64)
+        self.utf8, self.at = utf8, at
+
+    def h2(self) -> np.ndarray:
+        return words.xxh64(self.utf8, self.at[self.start], self.at[self.end], 7).view(np.int64)
 
     def text(self, i: int) -> str:
         return self.joined[self.start[i] : self.end[i]]
@@ -88,13 +91,15 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
 
 
 def signature(lines: Lines, pick: np.ndarray) -> np.ndarray:
-    """Counts modulo 16 of 16 classes of characters of each picked line, in 64 bits."""
-    kind = (words.mixed(lines.c) & np.uint64(15)).astype(np.int64)
-    out = np.zeros(len(pick), np.uint64)
-    for k in range(16):
-        total = np.concatenate(([0], np.cumsum(kind == k)))
-        out |= ((total[lines.end[pick]] - total[lines.start[pick]]) & 15).astype(np.uint64) << np.uint64(4 * k)
-    return out
+    """Counts of 16 classes of characters of each picked line, as digits of base 16 modulo 2 ** 64.
+
+    Digits carry into the next, but the difference of two signatures has the differences of the
+    counts as its balanced digits as long as these are small, and so they are for near-equal lines.
+    """
+    kind = words.mixed(lines.c) & np.uint64(15)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.uint64(1) << (kind * np.uint64(4)), dtype=np.uint64)))
+        return total[lines.end[pick]] - total[lines.start[pick]]
 
 
 def segment_rows(lines: Lines, tau: int, min_fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,11 +134,12 @@ def segment_rows(lines: Lines, tau: int, min_fuzzy: int) -> tuple[np.ndarray, np
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum of circular differences of the 16 counts."""
-    out = np.zeros(np.broadcast(x, y).shape, np.int16)
+    """Sum of the absolute balanced digits of the difference of two signatures."""
+    with np.errstate(over="ignore"):
+        d = x - y + np.uint64(0x8888888888888888)
+    out = np.zeros(d.shape, np.int16)
     for k in range(16):
-        d = (((x >> np.uint64(4 * k)) - (y >> np.uint64(4 * k))) & np.uint64(15)).astype(np.int16)
-        out += np.minimum(d, 16 - d)
+        out += np.abs(((d >> np.uint64(4 * k)) & np.uint64(15)).astype(np.int16) - 8)
     return out
 
 
@@ -196,7 +202,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str, min_chars: int) -> Data
         for batch in batches:
             for b in words.blocks(batch, "__text"):
                 x = Lines(b.column("__text").to_pylist(), min_chars)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.owner)), pa.array(x.number), pa.array(x.h1), pa.array(x.h2)], names=["id", "number", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.owner)), pa.array(x.number), pa.array(x.h1), pa.array(x.h2())], names=["id", "number", "h1", "h2"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"id {kind}, number long, h1 long, h2 long")
 

@@ -95,3 +95,16 @@ def test_empty_table(spark):
     assert L.removals(df).collect() == []
     assert L.dedup(df).collect() == []
     assert components(L.near_links(df)).collect() == []
+
+
+def test_signatures_never_exclude_a_near_line():
+    import numpy as np
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        a = "".join(rnd.choice("abcdefg é") for _ in range(rnd.choice([40, 400, 5000]))).strip()
+        b = edited(rnd, a, rnd.randint(0, 2)).replace("\n", "").strip()
+        lines = L.Lines([a + "\n" + b], 1)
+        if len(lines.n) == 2:
+            s = L.signature(lines, np.arange(2))
+            assert L._apart(s[:1], s[1:])[0] <= 2 * L.TAU
