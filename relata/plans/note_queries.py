@@ -95,7 +95,7 @@ def kmeans(spark, sf):
 
 
 @query("k4_map")
-def vault_map(spark, sf):
+def corpus_map(spark, sf):
     p = cluster.project(V.centered(R.notes(spark, sf)))
     return p.select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
