@@ -71,3 +71,26 @@ def test_without_broadcast(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(anchors, "BROADCAST_KEYS", 0)
             assert sorted(map(tuple, f(df).collect())) == want
+
+
+def test_repeat_behind_nearer_neighbours(spark):
+    """A and B share 68 words around a frequent passage; others with a longer side stand between them in each order."""
+    rnd = random.Random(10)  # one of the seeds that put more than four rows between A and B at every anchor
+    make = lambda k: [f"v{rnd.randrange(10**6)}" for _ in range(k)]
+    left, mid, right = make(19), make(30), make(19)
+    rows = [(0, make(60) + left + mid + right + make(60)), (1, make(60) + left + mid + right + make(60))]
+    for j in range(400):
+        # 30 frequent words and 19 more on one side only: fewer than 50
+        rows.append((2 + j, make(60) + (left if j % 2 else make(19)) + mid + (make(19) if j % 2 else right) + make(60)))
+    rows = [(d, " ".join(w)) for d, w in rows]
+    df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], SCHEMA)
+    got = {r.doc_id: {i for s in r.spans for i in range(s["first"], s["last"])} for r in anchors.merged(suffixes.repeats(df), "doc_id").collect()}
+    assert got == plain(rows, suffixes.MIN_WORDS) and set(got) == {0, 1}
+
+
+def test_spans_are_exact(spark):
+    for seed in (4, 5):
+        rows = corpus(seed, 120)
+        df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], SCHEMA)
+        got = {r.doc_id: {i for s in r.spans for i in range(s["first"], s["last"])} for r in anchors.merged(suffixes.repeats(df), "doc_id").collect()}
+        assert got == plain(rows, suffixes.MIN_WORDS)
