@@ -6,14 +6,20 @@ the columns it needs by parameter, ignores the others, and treats a null text as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relata.operators.components import components, delete, materialize, shared_dir
 
-__all__ = ["WORD", "components", "delete", "materialize", "shared_dir", "table"]
+__all__ = ["WORD", "components", "delete", "materialize", "packed", "shared_dir", "table"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row as one struct ``row`` beside ``more`` columns, so that no name can clash with theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), *more)

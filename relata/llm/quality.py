@@ -1,45 +1,61 @@
 """Quality rules whose cutoffs carry a guarantee: few good documents are rejected in any stratum.
 
-Fixed rules come first (too few words; too many repeated three-word windows). Further rules reject
-a document if a ratio exceeds a cutoff. The cutoffs come from labelled documents: one half proposes
-a path of cutoffs from lenient to strict, the other half, the holdout, tests along that path the
-hypothesis "more than ``alpha / rules`` of the good documents of this stratum would go" by its exact
-binomial tail, at the level ``delta / (strata * rules)`` (Bonferroni over strata and rules; along a
-path the test stops at the first cutoff that it can't reject, which needs no correction). Of the
-cutoffs that pass, the one that gains most on the first half is taken. With probability 1 - delta
-all strata lose at most ``alpha`` of their good documents to these rules. A stratum with too few
-labels has no cutoff, so nothing there is rejected but by the fixed rules.
-
-The fit reads at most ``max_labels`` labelled rows, picked by a hash of their id; the measures cover
-every whole text.
+Fixed rules come first (too few words; too many repeated three-word windows). Then RULES, ratios of
+counts over the whole text, are combined into one score: a ridge logistic regression over their
+logarithms, fitted on at most ``max_fit`` labelled documents of one half of the labels. The score's
+cutoff is chosen for each stratum over **all** labelled documents, counted by stratum, half, label
+and score in Spark (a small table, however many labels there are):
+
+* the path of cutoffs goes from lenient to strict. On the other half, the holdout, each tests the
+  hypothesis "more than ``alpha`` of the good documents of this stratum would go" by its exact
+  binomial tail, and the path ends at the first that can't reject it (a fixed sequence needs no
+  correction along the path);
+* the level is ``delta`` over the number of strata (Bonferroni). The MAX_STRATA strata with the most
+  labels that can reach that level at all, ln(level) / ln(1 - alpha) good holdout documents (217 for
+  four strata), stand alone; all others and rows without a stratum are pooled into one more;
+* of the cutoffs that pass, the one that gains most on the first half is taken.
+
+With probability 1 - delta every stratum loses at most ``alpha`` of its good documents to the score.
+A stratum (or the pool) with too few labels has no cutoff: nothing there is rejected but by the
+fixed rules.
+
+Null and empty texts fail the fixed rules. Of several labels of one id the worst counts; of several
+labelled rows with one id, the one of least measures. A null label or a null id doesn't count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import table
+from .common import materialize, packed, table
 
-MAX_LABELS = 40_000
+MAX_FIT = 20_000
+MAX_STRATA = 64
 ALPHA = 0.02
 DELTA = 0.05
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines")
-RULES = ("symbols", "dup_lines", "repeats", "word_length")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_upper", "n_marks", "n_digits")
+RULES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "marks", "digits")
+#: Scores are counted in bins of this width, from -LIMIT to LIMIT.
+BIN, LIMIT = 0.02, 40.0
+POOL = None
+NEVER = 1 << 40
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SPACES = b" \t\n\x0b\x0c\r"
+_UPPER, _MARK, _DIGIT = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"0123456789"))
 
 
 def measure_block(column: pa.Array) -> dict[str, np.ndarray]:
@@ -81,6 +97,9 @@ def measure_block(column: pa.Array) -> dict[str, np.ndarray]:
         "n_dup_lines": dup,
         "n_repeat_words": np.diff(np.concatenate(([0], np.cumsum(covered)))[w.first]),
         "n_word_lines": lines,
+        "n_upper": total(_UPPER[buf]),
+        "n_marks": total(_MARK[buf]),
+        "n_digits": total(_DIGIT[buf]),
     }
 
 
@@ -91,6 +110,9 @@ def ratios(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "dup_lines": part(m["n_dup_lines"], m["n_word_lines"]),
         "repeats": part(m["n_repeat_words"], m["n_words"]),
         "word_length": part(m["word_chars"], m["n_words"]),
+        "upper": part(m["n_upper"], m["word_chars"]),
+        "marks": part(m["n_marks"], m["n_words"]),
+        "digits": part(m["n_digits"], m["word_chars"]),
     }
 
 
@@ -99,107 +121,199 @@ def base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
-    """P(at most x of n) for a rate p."""
-    total = 0.0
-    for i in range(x + 1):
-        total += math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    """P(at most x of n) for a rate p: terms from x downwards, until they no longer count."""
+    if x >= n:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p))
+    total, i = term, x
+    while i > 0 and (i > n * p or term > 1e-18 * total):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        i -= 1
     return min(1.0, total)
 
 
-def choose(frame: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: int = 24) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule. ``frame``: stratum, good, holdout and the RULES columns."""
-    strata = sorted(frame["stratum"].unique())
-    level = delta / max(1, len(strata) * len(RULES))
-    out: dict[str, dict[str, float]] = {}
-    for stratum in strata:
-        rows = frame[frame["stratum"] == stratum]
-        first, held = rows[~rows["holdout"]], rows[rows["holdout"]]
-        good, bad = first[first["good"]], first[~first["good"]]
-        kept = held[held["good"]]
-        for rule in RULES:
-            if not len(good) or not len(bad) or not len(kept):
-                continue
-            values, tested = good[rule].to_numpy(), kept[rule].to_numpy()
-            spare = np.concatenate(([0.0], np.geomspace(1e-4, 0.05, grid - 1)))
-            # above all good values, as lenient as the bad ones allow
-            beyond = np.linspace(values.max(), max(values.max(), bad[rule].max()), grid, endpoint=False)
-            path = np.unique(np.concatenate((beyond, np.quantile(values, 1 - spare, method="higher"))))[::-1]
-            # a gain from a few bad documents may be chance
-            best = (max(3.0, 0.01 * len(bad)), None)
-            for cut in path:
-                gone = int((tested > cut).sum())
-                if binomial_tail(gone, len(tested), alpha / len(RULES)) > level:
-                    break
-                # a good document lost costs as much as ten bad ones gain
-                gain = (bad[rule] > cut).sum() - 10.0 * (values > cut).sum()
-                if gain > best[0]:
-                    best = (gain, float(cut))
-            if best[1] is not None:
-                out.setdefault(stratum, {})[rule] = best[1]
+def features(r: dict[str, np.ndarray]) -> np.ndarray:
+    logs = [np.log(np.asarray(r[x], float) + 0.01) for x in RULES]
+    return np.stack([*logs, logs[RULES.index("word_length")] ** 2], axis=1)
+
+
+@dataclass
+class Score:
+    """A linear score of standardised features; higher is worse."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    bias: float
+
+    def bins(self, r: dict[str, np.ndarray]) -> np.ndarray:
+        x = np.clip((features(r) - self.mean) / self.scale, -20, 20)
+        return np.floor(np.clip(x @ self.weight + self.bias, -LIMIT, LIMIT) / BIN).astype(np.int64)
+
+
+def fit_score(r: dict[str, np.ndarray], good: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Score | None:
+    """Ridge logistic regression by Newton steps; None if one of the labels is missing."""
+    if good.all() or not good.any():
+        return None
+    x = features(r)
+    mean, scale = x[good].mean(axis=0), np.maximum(x[good].std(axis=0), 0.05)
+    x = np.clip((x - mean) / scale, -20, 20)
+    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    y = (~good).astype(float)
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        size = np.abs(step).max()
+        w += step * min(1.0, 2.0 / max(size, 1e-12))
+        if size < 1e-6:
+            break
+    return Score(mean, scale, w[:-1], float(w[-1]))
+
+
+def choose(counts: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA) -> dict[str | None, int]:
+    """The cutoff of each stratum, POOL for the others. ``counts``: stratum, holdout, good, bin, n.
+
+    A document goes if its bin is above the cutoff; NEVER is the cutoff where none passed.
+    """
+    if not len(counts):
+        return {}
+    held_good = counts[counts["holdout"] & counts["good"] & counts["stratum"].notna()].groupby("stratum")["n"].sum()
+    ranked = sorted(held_good.items(), key=lambda kv: (-kv[1], kv[0]))[:max_strata]
+    alone: set[str] = set()
+    for size in range(len(ranked), 0, -1):  # fewer strata of one's own leave more of delta to each
+        level = delta / (size + 1)
+        if ranked[size - 1][1] * math.log1p(-alpha) <= math.log(level):
+            alone = {k for k, _ in ranked[:size]}
+            break
+    level = delta / (len(alone) + 1)
+    out: dict[str | None, int] = {}
+    parts = [(k, counts["stratum"] == k) for k in sorted(alone)] + [(POOL, ~counts["stratum"].isin(alone))]
+    for stratum, mine in parts:
+        rows = counts[mine]
+        bins = np.sort(rows["bin"].unique())[::-1]
+        above = {}
+        for held in (False, True):
+            for good in (False, True):
+                n = rows[(rows["holdout"] == held) & (rows["good"] == good)].groupby("bin")["n"].sum().reindex(bins, fill_value=0).to_numpy()
+                above[held, good] = np.concatenate(([0], np.cumsum(n)))  # above[i]: in bins over bins[i]
+        n_held, n_bad = int(above[True, True][-1]), int(above[False, False][-1])
+        # a gain from a few bad documents may be chance
+        best = (max(3.0, 0.01 * n_bad), None)
+        for i, cut in enumerate(bins):
+            if not n_held or binomial_tail(int(above[True, True][i]), n_held, alpha) > level:
+                break
+            # a good document lost costs as much as ten bad ones gain
+            gain = above[False, False][i] - 10.0 * above[False, True][i]
+            if gain > best[0]:
+                best = (gain, int(cut))
+        out[stratum] = NEVER if best[1] is None else best[1]
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", good: str = "quality", max_labels: int = MAX_LABELS, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs from at most ``max_labels`` labelled rows. A null label or stratum doesn't count; of rows
-    with the same id any one does."""
-    order = F.xxhash64(F.col(id_col))
-    chosen = labels.where(F.col(good).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(good) > 0).alias("__good"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_labels)
-    rows = docs.where(F.col(stratum).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    rows = rows.select("__id", F.col(stratum).cast("string").alias("stratum"), "__good", (F.shiftrightunsigned(order, 7) % 2 == 1).alias("holdout"), F.col(text).cast("string").alias("__text"))
+@dataclass
+class Rules:
+    """A fitted score with its cutoffs by stratum (POOL: all others); empty, it rejects nothing."""
+
+    score: Score | None
+    cutoffs: dict[str | None, int]
+
+    def rejects(self, m: dict[str, np.ndarray], strata: list) -> np.ndarray:
+        if self.score is None or not self.cutoffs:
+            return np.zeros(len(strata), bool)
+        pool = self.cutoffs.get(POOL, NEVER)
+        cut = np.array([self.cutoffs.get(s, pool) for s in strata], np.int64)
+        return self.score.bins(ratios(m)) > cut
+
+
+def measures(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
+    """The ``keep`` columns and MEASURES of every row."""
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text"):
-                m = measure_block(b.column("__text"))
-                r = ratios(m)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(base_failed(m)), *(pa.array(r[x]) for x in RULES)], names=["id", "stratum", "good", "holdout", "base", *RULES])
+            for b in words.blocks(batch, batch.schema.names[n]):
+                m = measure_block(b.column(n))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(m[x].astype(np.int64)) for x in MEASURES)], names=[*b.schema.names[:n], *MEASURES])
 
-    got = rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, stratum string, good boolean, holdout boolean, base boolean, " + ", ".join(f"{x} double" for x in RULES))
-    frame = got.dropDuplicates(["id"]).toPandas()
-    return choose(frame[~frame["base"]], alpha, delta) if len(frame) else {}
+    schema = docs.select(*keep, *(F.lit(0).cast("long").alias(x) for x in MEASURES)).schema
+    return docs.select(*keep, F.col(text).cast("string").alias("text of it")).mapInArrow(run, schema)
 
 
-def verdict(m: dict[str, np.ndarray], strata: list, cutoffs: dict[str, dict[str, float]]) -> np.ndarray:
-    keep = ~base_failed(m)
-    r = ratios(m)
-    for rule in RULES:
-        cut = np.array([cutoffs.get(s, {}).get(rule, np.inf) for s in strata], float)
-        keep &= ~(r[rule] > cut)
-    return keep
+def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {x: np.asarray(b.column(x)) for x in MEASURES}
 
 
-def measured(docs: DataFrame, cutoffs: dict[str, dict[str, float]], keep: tuple[str, ...] = ("doc_id",), text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The ``keep`` columns with the measures, base_failed and kept, for every row."""
-    names = [*keep, *MEASURES, "base_failed", "kept"]
-    frame = docs.select(*keep, F.col(stratum).cast("string").alias("__stratum"), F.col(text).cast("string").alias("__text"))
-    schema = docs.select(*keep, *(F.lit(0).cast("long").alias(x) for x in MEASURES), F.lit(True).alias("base_failed"), F.lit(True).alias("kept")).schema
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", good: str = "quality", max_fit: int = MAX_FIT, alpha: float = ALPHA, delta: float = DELTA, measured_docs: DataFrame | None = None) -> Rules:
+    """The score of at most ``max_fit`` labelled rows, with cutoffs over all of them.
+
+    ``measured_docs``, if they are at hand, are the rows (id, stratum, MEASURES) of ``docs``. Only
+    measures are joined with the labels, never texts.
+    """
+    chosen = labels.where(F.col(good).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg((F.min(F.col(good)) > 0).alias("good"))
+    rows = measured_docs if measured_docs is not None else measures(docs, [F.col(id_col).alias("id"), F.col(stratum).cast("string").alias("stratum")], text)
+    rows = rows.join(chosen, F.col("id") == F.col("label_id")).groupBy("id", "good").agg(F.min(F.struct("stratum", *MEASURES)).alias("m"))
+    hash_ = F.xxhash64("id")
+    rows = materialize(rows.select("id", "good", (F.shiftrightunsigned(hash_, 7) % 2 == 1).alias("holdout"), hash_.alias("h"), "m.*"), "labelled")
+    passed = (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words"))
+    rows = rows.where(passed)
+    first = rows.where(~F.col("holdout")).orderBy("h", "id").limit(max_fit).toPandas()
+    score = fit_score(ratios({x: first[x].to_numpy() for x in MEASURES}), first["good"].to_numpy(bool)) if len(first) else None
+    if score is None:
+        return Rules(None, {})
+    own = [r["stratum"] for r in rows.where("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in words.blocks(batch, "__text"):
-                m = measure_block(b.column("__text"))
-                ok = verdict(m, b.column("__stratum").to_pylist(), cutoffs)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(m[x].astype(np.int64)) for x in MEASURES), pa.array(base_failed(m)), pa.array(ok)], names=names)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("stratum"), b.column("holdout"), b.column("good"), pa.array(score.bins(ratios(_arrays(b))))], names=["stratum", "holdout", "good", "bin"])
+
+    counts = rows.mapInArrow(run, "stratum string, holdout boolean, good boolean, bin long")
+    counts = counts.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")))
+    counts = counts.groupBy("stratum", "holdout", "good", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    return Rules(score, choose(counts, alpha, delta))
+
+
+def verdict(m: dict[str, np.ndarray], strata: list, rules: Rules) -> np.ndarray:
+    return ~base_failed(m) & ~rules.rejects(m, strata)
+
+
+def judged(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``rows`` of (id, stratum, MEASURES) with base_failed and kept."""
+    schema = rows.select("*", F.lit(True).alias("base_failed"), F.lit(True).alias("kept")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _arrays(b)
+            ok = verdict(m, b.column("stratum").to_pylist(), rules)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base_failed(m)), pa.array(ok)], names=[*b.schema.names, "base_failed", "kept"])
+
+    return rows.mapInArrow(run, schema)
+
 
-    return frame.mapInArrow(run, schema)
+def measured(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """(id, MEASURES, base_failed, kept) for every row."""
+    rows = measures(docs, [F.col(id_col).alias("id"), F.col(stratum).cast("string").alias("stratum")], text)
+    return judged(rows, rules).drop("stratum").withColumnRenamed("id", id_col)
 
 
-def keep_good(docs: DataFrame, cutoffs: dict[str, dict[str, float]], text: str = "text", stratum: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, rules: Rules, text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    columns = docs.columns
+    frame = packed(docs, F.col(stratum).cast("string").alias("stratum"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text"):
-                ok = verdict(measure_block(b.column("__text")), b.column("__stratum").to_pylist(), cutoffs)
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(columns))], names=columns).filter(pa.array(ok))
+            for b in words.blocks(batch, "text"):
+                ok = verdict(measure_block(b.column("text")), b.column("stratum").to_pylist(), rules)
+                yield b.select(["row"]).filter(pa.array(ok))
 
-    frame = docs.select(*columns, F.col(stratum).cast("string").alias("__stratum"), F.col(text).cast("string").alias("__text"))
-    return frame.mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, frame.select("row").schema).select("row.*")
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = measured(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = materialize(measures(docs, [F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("stratum")]), "measures")
+    out = judged(rows, fit(docs, table(spark, sf_dir, "labels"), measured_docs=rows))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
