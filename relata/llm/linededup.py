@@ -1,19 +1,27 @@
 """Line dedup: exact and near-equal lines, by a segment-partition edit join.
 
-A line is what stands between line feeds, without the white space at its ends. Lines under
-``min_chars`` characters are never duplicates. Exact duplicates are found by a 128-bit hash. Lines
-of ``min_fuzzy`` characters or more are near-equal at an edit distance of ``tau`` or less:
+A line is what stands between line feeds, without the white space at its ends; only lines with a
+word count, and only those of ``min_chars`` characters or more. Exact duplicates are found by a
+128-bit hash. Lines of ``min_fuzzy`` characters or more are near-equal at an edit distance of
+``tau`` or less (shorter ones are too short to be judged by it):
 
 * a line is cut into tau + 1 even segments, of which an edit distance of tau leaves at least one
   untouched, so each goes to an index keyed by its number, the line's length and its hash;
 * every line probes the lengths from its own down to tau less, for each segment only at the places
-  that the difference in length and the segment's number leave possible;
-* rows of a key meet in sorted order and are paired if the counts of 16 classes of characters allow the distance; a
-  pair is then verified on the texts by banded bit-parallel edit distance.
+  that the difference in length and the segment's number leave possible (a probe at a line's own
+  segments is the index row itself);
+* rows of a key meet in sorted order and are paired if the counts of 16 classes of characters allow
+  the distance; a pair is then verified on the texts by banded bit-parallel edit distance. A key of
+  more than HOT_ROWS rows is not held by a task: its rows come again, dealt to a grid of index
+  blocks by probe blocks.
 
 Links of near-equal lines form groups; of each group the first line by (id, number of the line)
-stays and all others go. Segments travel as hashes, texts only for lines of a candidate pair.
-Rows of the same id are one document. Null and empty texts have no line.
+stays and all others go. Segments travel as hashes, texts only for lines of a candidate pair, read
+from the first document that has them.
+
+Rows of the same id are one document, a null id is an id, null and empty texts have no line,
+repeated rows add nothing. Two lines with the same first 64 bits of their hash and different
+others, should there be any, are only matched exactly.
 """
 
 from __future__ import annotations
@@ -22,59 +30,120 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import components, materialize, table
+from .common import components, materialize, packed, table
 
 TAU = 2
-MIN_CHARS = 16
-MIN_FUZZY = 32
+MIN_CHARS = 1
+MIN_FUZZY = 16
+HOT_ROWS = 200_000
 BROADCAST_LINES = 1_000_000
+#: Lines with more than this share of all occurrences are at most 100,000; they are joined by broadcast.
+HOT_SHARE = 1e-5
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_TABLES: dict[object, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)))
+    """The first n + 1 powers, kept for the next block."""
+    if base not in _TABLES or len(_TABLES[base]) <= n:
+        with np.errstate(over="ignore"):
+            _TABLES[base] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 20), base, np.uint64), dtype=np.uint64)))
+    return _TABLES[base][: n + 1]
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """A random value for each code point, and a one in the digit of its class of 16."""
+    if "value" not in _TABLES:
+        v = _TABLES["value"] = words.mixed(np.arange(1, 0x110001, dtype=np.uint64))
+        _TABLES["class"] = np.uint64(1) << ((v >> np.uint64(60)) * np.uint64(4))
+    return _TABLES["value"], _TABLES["class"]
+
+
+def _strip(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Move the ends of spans past white space."""
+    for at, step in ((start, 1), (end, -1)):
+        live = np.arange(len(start))
+        for turn in range(65):
+            live = live[start[live] < end[live]]
+            live = live[words._SPACE[buf[at[live] if step > 0 else at[live] - 1]]]
+            if not len(live):
+                break
+            if turn == 64:  # long runs of spaces
+                for i in live.tolist():
+                    solid = np.flatnonzero(~words._SPACE[buf[start[i] : end[i]]])
+                    at[i] = (start[i] + (solid[0] if step > 0 else solid[-1] + 1)) if len(solid) else (end[i] if step > 0 else start[i])
+                break
+            at[live] += step
 
 
 class Lines:
-    """Lines with a word of a block of texts: code points, spans in them, owner and number of each."""
-
-    def __init__(self, texts: list[str | None], min_chars: int):
-        joined = "\n".join(t or "" for t in texts)
-        self.joined = joined
-        c = self.c = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        size = np.array([len(t or "") for t in texts], np.int64)
-        text_at = np.cumsum(size + 1) - size - 1
-        breaks = np.flatnonzero(c == 10)
-        start = np.concatenate(([0], breaks + 1))
-        end = np.concatenate((breaks, [len(c)]))
-        owner = np.searchsorted(text_at, start, "right") - 1
-        number = np.arange(len(start)) - np.searchsorted(start, text_at)[owner]
-        solid = np.flatnonzero(~((c == 32) | ((c >= 9) & (c <= 13))))
-        a, b = np.searchsorted(solid, start), np.searchsorted(solid, end)
-        some = b > a
-        self.start, self.end = solid[a[some]], solid[b[some] - 1] + 1
-        long = self.end - self.start >= min_chars
-        self.start, self.end = self.start[long], self.end[long]
-        self.owner, self.number = owner[some][long], number[some][long]
-        self.n = self.end - self.start
-        width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-        at = np.concatenate(([0], np.cumsum(width)))
-        utf8 = np.frombuffer(joined.encode(), np.uint8)
-        self.h1 = words.xxh64(utf8, at[self.start], at[self.end], 42).view(np.int64)
-        self.utf8, self.at = utf8, at
-
-    def h2(self) -> np.ndarray:
-        return words.xxh64(self.utf8, self.at[self.start], self.at[self.end], 7).view(np.int64)
+    """Lines with a word of a block of texts: byte spans, owner, number and size in characters of each."""
+
+    def __init__(self, column: pa.Array, min_chars: int):
+        buf, off = words.raw(column)
+        breaks = np.flatnonzero(buf == 10)
+        text = np.searchsorted(off, breaks, "right") - 1
+        many = 1 + np.bincount(text, minlength=len(column))
+        first = np.concatenate(([0], np.cumsum(many)))
+        start, end = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+        start[first[:-1]], end[first[1:] - 1] = off[:-1], off[1:]
+        nth = np.arange(len(breaks)) + text
+        start[nth + 1], end[nth] = breaks + 1, breaks
+        _strip(buf, start, end)
+        n = end - start
+        if len(buf) and buf.max() >= 0x80:
+            more = np.concatenate((np.zeros(1, np.int64), np.cumsum((buf & 0xC0) == 0x80)))
+            n -= more[end] - more[start]
+        ok = np.flatnonzero(n >= max(1, min_chars))
+        self.data = buf.tobytes()
+        self.start, self.end, self.n = start[ok], end[ok], n[ok]
+        owner = np.repeat(np.arange(len(column)), many)
+        self.owner, self.number = owner[ok], (np.arange(first[-1]) - first[:-1][owner])[ok]
+        hashes = [xxhash.xxh3_128_digest(self.data[a:b]) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+        self.h1, self.h2 = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2).T.copy()
 
     def text(self, i: int) -> str:
-        return self.joined[self.start[i] : self.end[i]]
+        return self.data[self.start[i] : self.end[i]].decode("utf-8", "replace")
+
+
+class Points:
+    """Code points of some lines, one after the other: spans, sums of classes, and sums of powers."""
+
+    def __init__(self, lines: Lines, pick: np.ndarray):
+        parts = [lines.data[a:b] for a, b in zip(lines.start[pick].tolist(), lines.end[pick].tolist(), strict=True)]
+        c = np.frombuffer(b"".join(parts).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        self.n = lines.n[pick]
+        if self.n.sum() != len(c):  # bytes that are no UTF-8
+            self.n = np.array([len(x.decode("utf-8", "replace")) for x in parts], np.int64)
+            c = np.frombuffer("".join(x.decode("utf-8", "replace") for x in parts).encode("utf-32-le"), np.uint32)
+        self.start = np.cumsum(self.n) - self.n
+        value, kind = _letters()
+        zero = np.zeros(1, np.uint64)
+        with np.errstate(over="ignore"):
+            self.kinds = np.concatenate((zero, np.cumsum(kind[c], dtype=np.uint64)))
+            self.sums = np.concatenate((zero, np.cumsum(value[c] * _powers(_BASE, len(c))[:-1], dtype=np.uint64)))
+        self.back = _powers(_INVERSE, len(c))
+
+    def signature(self) -> np.ndarray:
+        """Counts of 16 classes of characters of each line, as digits of base 16 modulo 2 ** 64.
+
+        Digits carry into the next, but the difference of two signatures has the differences of the
+        counts as its balanced digits as long as these are small, and so they are for near-equal lines.
+        """
+        with np.errstate(over="ignore"):
+            return self.kinds[self.start + self.n] - self.kinds[self.start]
+
+    def key(self, at: np.ndarray, size: np.ndarray, i: int, length: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.sums[at + size] - self.sums[at]) * self.back[at]
+            return words.mixed(h + words.mixed(length.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1)))
 
 
 def segments(n: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,45 +159,22 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(tau + 1) for i in range(tau + 1) for s in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)]
 
 
-def signature(lines: Lines, pick: np.ndarray) -> np.ndarray:
-    """Counts of 16 classes of characters of each picked line, as digits of base 16 modulo 2 ** 64.
+def segment_rows(lines: Lines, tau: int, min_fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, probe's difference in length or -1 for an index row, line, signature).
 
-    Digits carry into the next, but the difference of two signatures has the differences of the
-    counts as its balanced digits as long as these are small, and so they are for near-equal lines.
+    An index row is also the probe of its own key, of difference 0.
     """
-    kind = words.mixed(lines.c) & np.uint64(15)
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.uint64(1) << (kind * np.uint64(4)), dtype=np.uint64)))
-        return total[lines.end[pick]] - total[lines.start[pick]]
-
-
-def segment_rows(lines: Lines, tau: int, min_fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, probe's difference in length or -1 for an index row, line, signature)."""
     _, pick = np.unique(lines.h1, return_index=True)
     pick = pick[lines.n[pick] >= min_fuzzy]
-    n, start = lines.n[pick], lines.start[pick]
-    sign = signature(lines, pick)
-    with np.errstate(over="ignore"):
-        value = words.mixed(lines.c.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(lines.c))[:-1]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        back = _powers(_INVERSE, len(lines.c))
-
-        def key(at: np.ndarray, size: np.ndarray, i: int, length: np.ndarray) -> np.ndarray:
-            h = (total[at + size] - total[at]) * back[at]
-            return words.mixed(h + words.mixed(length.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1)))
-
-        keys, side, who = [], [], []
-        for i in range(tau + 1):
-            at, size = segments(n, i, tau)
-            keys.append(key(start + at, size, i, n))
-            side.append(np.full(len(pick), -1, np.int8))
-            who.append(np.arange(len(pick)))
-        for d, i, s in probes(tau):
-            at, size = segments(n - d, i, tau)
-            ok = np.flatnonzero((at + s >= 0) & (at + s + size <= n) & (n - d >= min_fuzzy))
-            keys.append(key((start + at + s)[ok], size[ok], i, (n - d)[ok]))
-            side.append(np.full(len(ok), d, np.int8))
-            who.append(ok)
+    p = Points(lines, pick)
+    n, start, sign = p.n, p.start, p.signature()
+    keys, side, who = [], [], []
+    for d, i, s in probes(tau):
+        at, size = segments(n - d, i, tau)
+        ok = np.flatnonzero((at + s >= 0) & (at + s + size <= n) & (n - d >= min_fuzzy))
+        keys.append(p.key((start + at + s)[ok], size[ok], i, (n - d)[ok]))
+        side.append(np.full(len(ok), d if d or s else -1, np.int8))
+        who.append(ok)
     who = np.concatenate(who)
     return np.concatenate(keys).view(np.int64), np.concatenate(side), lines.h1[pick][who], sign[who].view(np.int64)
 
@@ -143,19 +189,24 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+INDEX_ONLY = -2
+
+
 def run_pairs(side: np.ndarray, line: np.ndarray, sign: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the rows of one key."""
+    """Candidate pairs among the rows of one key. ``side`` may be INDEX_ONLY for a row that doesn't probe."""
     index = np.flatnonzero(side < 0)
     index = index[np.unique(line[index], return_index=True)[1]]
-    probe = np.flatnonzero(side >= 0)
-    probe = probe[np.unique(np.stack((line[probe], side[probe])), axis=1, return_index=True)[1]]
+    probe = np.flatnonzero(side != INDEX_ONLY)
+    shorter = np.maximum(side[probe], 0)
+    pick = np.unique(np.stack((line[probe], shorter)), axis=1, return_index=True)[1]
+    probe, shorter = probe[pick], shorter[pick]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, (1 << 20) // max(1, len(probe)))
+    most = (2 * tau - shorter).astype(np.int16)
     for lo in range(0, len(index), step):
         m = index[lo : lo + step]
-        most = (2 * tau - side[probe]).astype(np.int16)
         ok = _apart(sign[m][:, None], sign[probe][None, :]) <= most[None, :]
-        ok &= (line[m][:, None] < line[probe][None, :]) | ((side[probe] > 0)[None, :] & (line[m][:, None] != line[probe][None, :]))
+        ok &= (line[m][:, None] < line[probe][None, :]) | ((shorter > 0)[None, :] & (line[m][:, None] != line[probe][None, :]))
         x, y = np.nonzero(ok)
         a.append(np.minimum(line[m[x]], line[probe[y]]))
         b.append(np.maximum(line[m[x]], line[probe[y]]))
@@ -200,63 +251,104 @@ def occurrences(docs: DataFrame, id_col: str, text: str, min_chars: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text"):
-                x = Lines(b.column("__text").to_pylist(), min_chars)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.owner)), pa.array(x.number), pa.array(x.h1), pa.array(x.h2())], names=["id", "number", "h1", "h2"])
+            for b in words.blocks(batch, "text"):
+                x = Lines(b.column("text"), min_chars)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.owner)), pa.array(x.number), pa.array(x.h1), pa.array(x.h2)], names=["id", "number", "h1", "h2"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, number long, h1 long, h2 long")
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"id {kind}, number long, h1 long, h2 long")
+
+def distinct_lines(docs: DataFrame, id_col: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """All occurrences, and (h1, h2, same, n): each different line with its first place and its number of places."""
+    occ = materialize(occurrences(docs, id_col, text, min_chars).distinct(), "lines")
+    lines = occ.groupBy("h1", "h2").agg(F.min(F.struct("id", "number")).alias("same"), F.count(F.lit(1)).alias("n"))
+    return occ, materialize(lines, "distinct")
 
 
-def near_links(docs: DataFrame, text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """(a, b): hashes of different lines within edit distance tau, every such pair once."""
+def candidates(docs: DataFrame, text: str, tau: int, min_chars: int, min_fuzzy: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b): hashes of lines that share a segment's key and may be near, each pair once."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text", 1 << 20):
-                key, side, line, sign = segment_rows(Lines(b.column("__text").to_pylist(), min_chars), tau, min_fuzzy)
+            for b in words.blocks(batch, "text", 1 << 20):
+                key, side, line, sign = segment_rows(Lines(b.column("text"), min_chars), tau, min_fuzzy)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, side, line, sign)], names=["key", "side", "line", "sign"])
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+    def pair(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+        rest, hot = None, None
         for batch in batches:
             rows = [np.asarray(x) for x in batch.columns]
+            if hot is not None:
+                rows = [x[np.searchsorted(rows[0], hot, "right") :] for x in rows]
+            if not len(rows[0]):
+                continue
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            rest = [x[cut:] for x in rows]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            rest, hot = [x[cut:] for x in rows], None
             yield from pairs_of([x[:cut] for x in rows])
+            if len(rest[0]) > most:
+                hot, rest = int(rest[0][0]), None
+                yield pa.RecordBatch.from_arrays([pa.array([hot]), pa.nulls(1, pa.int64())], names=["a", "b"])
         if rest is not None:
             yield from pairs_of(rest)
 
     def pairs_of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, side, line, sign = rows
+        if not len(key):
+            return
         sign = sign.view(np.uint64)
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         stop = np.append(begin[1:], len(key))
-        n_index = np.add.reduceat((side < 0).astype(np.int64), begin) if len(begin) else begin
-        several = np.add.reduceat(np.concatenate(([0], (line[1:] != line[:-1]) & (key[1:] == key[:-1]))), begin) if len(begin) else begin
+        n_index = np.add.reduceat((side < 0).astype(np.int64), begin)
+        several = np.add.reduceat(np.concatenate(([0], (line[1:] != line[:-1]) & (key[1:] == key[:-1]))), begin)
         for a, b in zip(begin[(several > 0) & (n_index > 0)].tolist(), stop[(several > 0) & (n_index > 0)].tolist(), strict=True):
             x, y = run_pairs(side[a:b], line[a:b], sign[a:b], tau)
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    source = docs.select(F.col(text).cast("string").alias("__text"))
-    rows = source.mapInArrow(split, "key long, side byte, line long, sign long").repartition("key").sortWithinPartitions("key")
-    pairs = materialize(rows.mapInArrow(pair, "a long, b long").distinct(), "pairs")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "needed")
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(split, "key long, side byte, line long, sign long")
+    met = rows.repartition("key").sortWithinPartitions("key")
+    pairs = materialize(met.mapInArrow(lambda b: pair(b, hot_rows), "a long, b long").distinct(), "pairs")
+    hot = pairs.where("b is null").select(F.col("a").alias("key"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return pairs
+    again = materialize(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_LINES else hot, "key"), "hot")
+    # as many blocks on each side that a cell has about half of hot_rows
+    blocks = again.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / hot_rows).cast("int").alias("blocks"))
+    again = again.join(F.broadcast(blocks) if n_hot <= BROADCAST_LINES else blocks, "key")
+    mine = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    index = again.where("side < 0").select("key", F.lit(INDEX_ONLY).cast("byte").alias("side"), "line", "sign", mine.alias("i"), every.alias("j"))
+    probe = again.select("key", F.greatest("side", F.lit(0).cast("byte")).alias("side"), "line", "sign", every.alias("i"), mine.alias("j"))
+    cells = index.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("key"), "side", "line", "sign")
+    cells = cells.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: pair(b, 1 << 62), "a long, b long")
+    return materialize(pairs.where("b is not null").unionByName(cells).distinct(), "all-pairs")
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY, lines: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b): first 64 bits of the hashes of different lines within edit distance tau, every such pair once."""
+    if lines is None:
+        lines = distinct_lines(docs, id_col, text, min_chars)[1]
+    pairs = candidates(docs, text, tau, min_chars, min_fuzzy, hot_rows)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    n = needed.count()
+    wanted = lines.join(F.broadcast(needed) if n <= BROADCAST_LINES else needed, "h1", "left_semi")
+    wanted = wanted.groupBy(F.col("same.id").alias("id")).agg(F.collect_set(F.struct(F.col("same.number").alias("number"), "h1")).alias("wanted"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").alias("text"))
+    held = rows.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, F.col("doc").eqNullSafe(F.col("id"))).select("text", "wanted")
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text"):
-                x = Lines(b.column("__text").to_pylist(), min_chars)
-                _, pick = np.unique(x.h1, return_index=True)
-                pick = pick[x.n[pick] >= min_fuzzy]
-                yield pa.RecordBatch.from_arrays([pa.array(x.h1[pick]), pa.array([x.text(i) for i in pick], pa.string())], names=["line", "said"])
+            for b in words.blocks(batch, "text"):
+                x = Lines(b.column("text"), min_chars)
+                want = {(i, w["number"], w["h1"]) for i, ws in enumerate(b.column("wanted").to_pylist()) for w in ws}
+                pick = [k for k, row in enumerate(zip(x.owner.tolist(), x.number.tolist(), x.h1.tolist(), strict=True)) if row in want]
+                yield pa.RecordBatch.from_arrays([pa.array(x.h1[pick]), pa.array(x.h2[pick]), pa.array([x.text(i) for i in pick], pa.string())], names=["line", "rest", "said"])
 
-    said = source.mapInArrow(texts_of, "line long, said string")
-    small = needed.count() <= BROADCAST_LINES
-    said = said.join(F.broadcast(needed) if small else needed, "line", "left_semi")
-    said = materialize(said.groupBy("line").agg(F.min("said").alias("said")), "said")
+    said = held.mapInArrow(texts_of, "line long, rest long, said string").groupBy("line").agg(F.min("said").alias("said"), F.count_distinct("rest").alias("n"))
+    said = materialize(said.where("n = 1").drop("n"), "said")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,20 +360,24 @@ def near_links(docs: DataFrame, text: str = "text", tau: int = TAU, min_chars: i
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
-    """(id, number, near): the lines that go, ``near`` if no earlier line is exactly equal."""
-    occ = materialize(occurrences(docs, id_col, text, min_chars).distinct(), "lines")
-    at = F.struct(F.col("id"), F.col("number"))
-    lines = materialize(occ.groupBy("h1", "h2").agg(F.min(at).alias("same")), "distinct")
-    label = components(near_links(docs, text, tau, min_chars, min_fuzzy))
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, number, near): the lines that go, ``near`` if no earlier line is exactly equal.
+
+    Of equal and near-equal lines the one of least (id, number) stays, a null id before all others.
+    """
+    occ, lines = distinct_lines(docs, id_col, text, min_chars)
+    label = components(near_links(docs, id_col, text, tau, min_chars, min_fuzzy, lines, hot_rows))
     lines = lines.join(label.withColumnRenamed("node", "h1"), "h1", "left")
     grouped = lines.where("label is not null")
     first = grouped.groupBy("label").agg(F.min("same").alias("first"))
     # most lines have no label; in a join on it they would all be one key
-    alone = lines.where("label is null").select("h1", "h2", "same", F.col("same").alias("first"))
-    lines = grouped.join(first, "label").select("h1", "h2", "same", "first").unionByName(alone)
-    gone = occ.join(lines, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    return gone.select("id", "number", at.eqNullSafe(F.col("same")).alias("near"))
+    alone = lines.where("label is null").select("h1", "h2", "same", "n", F.col("same").alias("first"))
+    lines = grouped.join(first, "label").select("h1", "h2", "same", "n", "first").unionByName(alone)
+    lines = materialize(lines.where("n > 1 or same <> first"), "removed")
+    at = F.struct(F.col("id"), F.col("number"))
+    hot = F.col("n") > int(HOT_SHARE * occ.count()) + 1000
+    gone = occ.join(F.broadcast(lines.where(hot)), ["h1", "h2"]).unionByName(occ.join(lines.where(~hot), ["h1", "h2"]))
+    return gone.where(~at.eqNullSafe(F.col("first"))).select("id", "number", at.eqNullSafe(F.col("same")).alias("near"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = "n_chars", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
@@ -289,25 +385,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: s
 
     ``length``, if there is such a column, follows the text.
     """
-    gone = removals(docs, id_col, text, tau, min_chars, min_fuzzy).groupBy(F.col("id").alias("__id")).agg(F.collect_set("number").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    columns = docs.columns
-    frame = joined.select(*columns, F.col(text).cast("string").alias("__text"), "__gone")
+    gone = materialize(removals(docs, id_col, text, tau, min_chars, min_fuzzy).groupBy("id").agg(F.collect_set("number").alias("gone")), "gone")
+    frame = packed(docs, F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"))
+    frame = frame.join(gone, F.col("key").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ok, size = batch.column("__text").to_pylist(), np.ones(batch.num_rows, bool), [None] * batch.num_rows
-            for i in np.flatnonzero(np.asarray(batch.column("__gone").is_valid())):
-                out = set(batch.column("__gone")[i].as_py())
-                texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in out)
+            texts, ok, size = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool), [None] * batch.num_rows
+            for i in np.flatnonzero(np.asarray(batch.column("gone").is_valid())):
+                out = set(batch.column("gone")[i].as_py())
+                texts[i] = "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in out)
                 size[i] = len(texts[i])
                 ok[i] = bool(texts[i].strip(" \t\n\x0b\x0c\r"))
-            new = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(texts, pa.string()), pa.array(size, pa.int64())], names=[*columns, "__new", "__size"])
+            new = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(size, pa.int64())], names=["row", "text", "size"])
             yield new.filter(pa.array(ok))
 
-    out = frame.mapInArrow(run, frame.select(*columns, F.col("__text").alias("__new"), F.lit(None).cast("long").alias("__size")).schema)
-    made = {text: F.col("__new"), length: F.coalesce("__size", length).cast(docs.schema[length].dataType) if length in columns else None}
-    return out.select(*(made[c].alias(c) if c in made else F.col(c) for c in columns))
+    out = frame.mapInArrow(run, frame.select("row", "text", F.lit(None).cast("long").alias("size")).schema)
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("text").cast(docs.schema[c].dataType).alias(c)
+        was = F.col("row").getField(c)
+        return F.coalesce(F.col("size").cast(docs.schema[c].dataType), was).alias(c) if c == length else was.alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def linededup_query(spark, sf_dir: str) -> DataFrame:
