@@ -11,9 +11,10 @@ word count, and only those of ``min_chars`` characters or more. Exact duplicates
   that the difference in length and the segment's number leave possible (a probe at a line's own
   segments is the index row itself);
 * rows of a key meet in sorted order and are paired if the counts of 16 classes of characters allow
-  the distance; a pair is then verified on the texts by banded bit-parallel edit distance. A key of
-  more than HOT_ROWS rows is not held by a task: its rows come again, dealt to a grid of index
-  blocks by probe blocks.
+  the distance; a pair is then verified on the texts by banded bit-parallel edit distance;
+* a crowded key, of more than HOT_ROWS rows or CROWD pairs a line, sends no pairs. Its rows come
+  again with their texts, dealt to a grid of index blocks by probe blocks if they are many, and each
+  cell verifies its candidates in place and sends a spanning forest of the links it found.
 
 Links of near-equal lines form groups; of each group the first line by (id, number of the line)
 stays and all others go. Segments travel as hashes, texts only for lines of a candidate pair, read
@@ -41,6 +42,8 @@ TAU = 2
 MIN_CHARS = 1
 MIN_FUZZY = 16
 HOT_ROWS = 200_000
+HOT_BYTES = 32 << 20
+CROWD = 4
 BROADCAST_LINES = 1_000_000
 #: Lines with more than this share of all occurrences are at most 100,000; they are joined by broadcast.
 HOT_SHARE = 1e-5
@@ -265,8 +268,52 @@ def distinct_lines(docs: DataFrame, id_col: str, text: str, min_chars: int) -> t
     return occ, materialize(lines, "distinct")
 
 
-def candidates(docs: DataFrame, text: str, tau: int, min_chars: int, min_fuzzy: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(a, b): hashes of lines that share a segment's key and may be near, each pair once."""
+def promising(key: np.ndarray, side: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of keys with an index row and more than one line."""
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    stop = np.append(begin[1:], len(key))
+    n_index = np.add.reduceat((side < 0).astype(np.int64), begin)
+    several = np.add.reduceat(np.concatenate(([0], (line[1:] != line[:-1]) & (key[1:] == key[:-1]))), begin)
+    yield from zip(begin[(several > 0) & (n_index > 0)].tolist(), stop[(several > 0) & (n_index > 0)].tolist(), strict=True)
+
+
+def forest(side: np.ndarray, line: np.ndarray, sign: np.ndarray, said: list[str], tau: int) -> tuple[list[int], list[int]]:
+    """Links of a spanning forest of the lines of a cell that are within ``tau``."""
+    place = {}
+    for i, x in enumerate(line.tolist()):
+        place.setdefault(x, i)
+    up = np.arange(len(line))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    a, b = [], []
+    index = np.flatnonzero(side < 0)
+    probing = np.flatnonzero(side != INDEX_ONLY)
+    for lo in range(0, len(index), 256):
+        some = index[lo : lo + 256]
+        block = np.concatenate((some, probing))
+        which = np.concatenate((np.full(len(some), INDEX_ONLY, np.int8), np.maximum(side[probing], 0)))
+        x, y = run_pairs(which, line[block], sign[block], tau)
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            i, j = root(place[u]), root(place[v])
+            if i != j and within(said[place[u]], said[place[v]], tau):
+                up[max(i, j)] = min(i, j)
+                a.append(u)
+                b.append(v)
+    return a, b
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY, lines: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b): first 64 bits of the hashes of different lines within edit distance tau.
+
+    The links have the components of all such pairs; of a crowded group not every pair is a link.
+    """
+    if lines is None:
+        lines = distinct_lines(docs, id_col, text, min_chars)[1]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,65 +321,32 @@ def candidates(docs: DataFrame, text: str, tau: int, min_chars: int, min_fuzzy:
                 key, side, line, sign = segment_rows(Lines(b.column("text"), min_chars), tau, min_fuzzy)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, side, line, sign)], names=["key", "side", "line", "sign"])
 
-    def pair(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-        rest, hot = None, None
-        for batch in batches:
-            rows = [np.asarray(x) for x in batch.columns]
-            if hot is not None:
-                rows = [x[np.searchsorted(rows[0], hot, "right") :] for x in rows]
-            if not len(rows[0]):
-                continue
-            if rest is not None:
-                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            rest, hot = [x[cut:] for x in rows], None
-            yield from pairs_of([x[:cut] for x in rows])
-            if len(rest[0]) > most:
-                hot, rest = int(rest[0][0]), None
-                yield pa.RecordBatch.from_arrays([pa.array([hot]), pa.nulls(1, pa.int64())], names=["a", "b"])
-        if rest is not None:
-            yield from pairs_of(rest)
-
-    def pairs_of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, line, sign = rows
-        if not len(key):
-            return
-        sign = sign.view(np.uint64)
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        stop = np.append(begin[1:], len(key))
-        n_index = np.add.reduceat((side < 0).astype(np.int64), begin)
-        several = np.add.reduceat(np.concatenate(([0], (line[1:] != line[:-1]) & (key[1:] == key[:-1]))), begin)
-        for a, b in zip(begin[(several > 0) & (n_index > 0)].tolist(), stop[(several > 0) & (n_index > 0)].tolist(), strict=True):
-            x, y = run_pairs(side[a:b], line[a:b], sign[a:b], tau)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, hot in words.by_key(batches, hot_rows):
+            crowded, a, b = [] if hot is None else [hot], [], []
+            if hot is None:
+                key, side, line, sign = (np.asarray(x) for x in columns)
+                for lo, hi in promising(key, side, line):
+                    x, y = run_pairs(side[lo:hi], line[lo:hi], sign[lo:hi].view(np.uint64), tau)
+                    if len(x) > CROWD * (hi - lo):
+                        crowded.append(int(key[lo]))
+                    elif len(x):
+                        a.append(x)
+                        b.append(y)
+            a.append(np.array(crowded, np.int64))
+            none = pa.nulls(len(crowded), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.concat_arrays([*map(pa.array, b), none])], names=["a", "b"])
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(split, "key long, side byte, line long, sign long")
-    met = rows.repartition("key").sortWithinPartitions("key")
-    pairs = materialize(met.mapInArrow(lambda b: pair(b, hot_rows), "a long, b long").distinct(), "pairs")
-    hot = pairs.where("b is null").select(F.col("a").alias("key"))
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long")
+    met = materialize(met.distinct(), "pairs")
+    pairs, hot = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
     n_hot = hot.count()
-    if n_hot == 0:
-        return pairs
-    again = materialize(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_LINES else hot, "key"), "hot")
-    # as many blocks on each side that a cell has about half of hot_rows
-    blocks = again.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 4 / hot_rows).cast("int").alias("blocks"))
-    again = again.join(F.broadcast(blocks) if n_hot <= BROADCAST_LINES else blocks, "key")
-    mine = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    index = again.where("side < 0").select("key", F.lit(INDEX_ONLY).cast("byte").alias("side"), "line", "sign", mine.alias("i"), every.alias("j"))
-    probe = again.select("key", F.greatest("side", F.lit(0).cast("byte")).alias("side"), "line", "sign", every.alias("i"), mine.alias("j"))
-    cells = index.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("key"), "side", "line", "sign")
-    cells = cells.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: pair(b, 1 << 62), "a long, b long")
-    return materialize(pairs.where("b is not null").unionByName(cells).distinct(), "all-pairs")
-
-
-def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY, lines: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(a, b): first 64 bits of the hashes of different lines within edit distance tau, every such pair once."""
-    if lines is None:
-        lines = distinct_lines(docs, id_col, text, min_chars)[1]
-    pairs = candidates(docs, text, tau, min_chars, min_fuzzy, hot_rows)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1")))
+    if n_hot:
+        crowd = materialize(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_LINES else hot, "key"), "crowd")
+        needed = needed.unionByName(crowd.select(F.col("line").alias("h1")))
+    needed = needed.distinct()
     n = needed.count()
     wanted = lines.join(F.broadcast(needed) if n <= BROADCAST_LINES else needed, "h1", "left_semi")
     wanted = wanted.groupBy(F.col("same.id").alias("id")).agg(F.collect_set(F.struct(F.col("same.number").alias("number"), "h1")).alias("wanted"))
@@ -357,7 +371,31 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau:
 
     both = pairs.join(said.select(F.col("line").alias("a"), F.col("said").alias("ta")), "a")
     both = both.join(said.select(F.col("line").alias("b"), F.col("said").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    links = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return links.unionByName(crowded_links(crowd.join(said, "line"), tau, hot_rows)) if n_hot else links
+
+
+def crowded_links(rows: DataFrame, tau: int, hot_rows: int) -> DataFrame:
+    """Links among (key, side, line, sign, said) of crowded keys, a forest from each cell of the grid."""
+    # blocks so many that a cell has about half of the rows and bytes that a task may hold
+    much = F.greatest(F.count(F.lit(1)) / hot_rows, F.sum(F.length("said")) / HOT_BYTES)
+    blocks = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(much * 4 - 3)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key")
+    mine = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    index = rows.where("side < 0").select("key", F.lit(INDEX_ONLY).cast("byte").alias("side"), "line", "sign", "said", mine.alias("i"), every.alias("j"))
+    probe = rows.select("key", F.greatest("side", F.lit(0).cast("byte")).alias("side"), "line", "sign", "said", every.alias("i"), mine.alias("j"))
+    cells = index.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("cell"), "side", "line", "sign", "said").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, _ in words.by_key(batches, 1 << 62):
+            key, side, line, sign = (np.asarray(x) for x in columns[:4])
+            for lo, hi in promising(key, side, line):
+                a, b = forest(side[lo:hi], line[lo:hi], sign[lo:hi].view(np.uint64), columns[4].slice(lo, hi - lo).to_pylist(), tau)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "line").mapInArrow(run, "a long, b long")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, min_fuzzy: int = MIN_FUZZY, hot_rows: int = HOT_ROWS) -> DataFrame:

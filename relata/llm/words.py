@@ -32,6 +32,29 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         start = end
 
 
+def by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.Array], int | None]]:
+    """Columns of whole keys (the first column, sorted), or the value of a key of more than ``most`` rows."""
+    rest, hot = None, None
+    for batch in batches:
+        key = np.asarray(batch.column(0))
+        if hot is not None:
+            batch = batch.slice(int(np.searchsorted(key, hot, "right")))
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        key = np.asarray(batch.column(0))
+        cut = int(np.searchsorted(key, key[-1]))
+        rest, hot = batch.slice(cut), None
+        if cut:
+            yield batch.slice(0, cut).columns, None
+        if rest.num_rows > most:
+            hot, rest = int(key[-1]), None
+            yield [], hot
+    if rest is not None:
+        yield rest.columns, None
+
+
 @dataclass
 class Words:
     """Words of n texts: bytes ``buf``, word spans ``start:end`` in it, ``first[i]:first[i+1]`` the words of text i.

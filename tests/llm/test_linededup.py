@@ -108,6 +108,7 @@ def test_empty_table(spark):
     assert L.removals(df).collect() == []
     assert L.dedup(df).collect() == []
     assert components(L.near_links(df)).collect() == []
+    assert L.dedup(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 2
 
 
 def test_signatures_never_exclude_a_near_line():
