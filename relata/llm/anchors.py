@@ -1,7 +1,7 @@
 """Anchored passages: positions chosen by content, with a bounded context of word hashes on each side.
 
-Passages that share an anchor's key are compared where a sort over all partitions puts them side by
-side. Range partitioning deals ties out by document and place, so no common passage lands in one task.
+A key matters if it stands at two places or more, in one document or in several. What is done with
+the rows of a key is the caller's business; here are the anchors, the spans and the classes.
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import materialize
+from .common import components, materialize
 
 BROADCAST_KEYS = 2_000_000
 _POS = 26
@@ -95,29 +94,32 @@ def _owned(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
 Anchor = Callable[[pa.Array], tuple[words.Words, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
 
 
-def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int = 0, width: int = 3, block: int = words.BLOCK_BYTES, only: str | None = None) -> DataFrame:
-    """(key, id, at) of every anchor of every text, with its contexts (back, ahead) if ``reach``.
+def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int = 0, width: int = 3, block: int = words.BLOCK_BYTES, only: tuple[str, str] | None = None) -> DataFrame:
+    """(key, id, at) of every anchor of every text, with its contexts (span, back, ahead) if ``reach``.
 
     ``anchor`` gives the words of a block, their hashes, and lists of (positions, keys, spans); what a
-    span means is the caller's business. ``only`` names a column with the keys wanted of each text.
+    span means is the caller's business. ``only`` names two columns with the keys wanted of each text
+    and those of them that are hot; there is a column ``hot`` then.
     """
-    names = ["key", "id", "at", *(["span", "back", "ahead"] if reach else [])]
+    names = ["key", "id", "at", *(["span", "back", "ahead"] if reach else []), *(["hot"] if only else [])]
     kind = dict(docs.dtypes)[id_col]
 
+    def wanted(lists: pa.Array) -> np.ndarray:
+        size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+        return _owned(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(size)), size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text", block):
-                w, h, found = anchor(b.column("__text"))
+            for b in words.blocks(batch, "text", block):
+                w, h, found = anchor(b.column("text"))
+                hot = None
                 if only:
-                    lists = b.column("__only")
-                    size = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
-                    wanted = _owned(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(size)), size))
-                    kept = []
-                    for at, keys, spans in found:
-                        ok = np.isin(_owned(keys, np.searchsorted(w.first, at, "right") - 1), wanted)
-                        kept.append((at[ok], keys[ok], spans[ok]))
-                    found = kept
+                    every, crowded = wanted(b.column("wanted")), wanted(b.column("crowded"))
                 for all_at, all_keys, all_spans in found:
+                    if only:
+                        mine = _owned(all_keys, np.searchsorted(w.first, all_at, "right") - 1)
+                        ok = np.isin(mine, every)
+                        all_at, all_keys, all_spans, hot = all_at[ok], all_keys[ok], all_spans[ok], np.isin(mine[ok], crowded)
                     for lo in range(0, len(all_at), 20_000):
                         at, keys = all_at[lo : lo + 20_000], all_keys[lo : lo + 20_000]
                         owner = np.searchsorted(w.first, at, "right") - 1
@@ -125,110 +127,51 @@ def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int
                         if reach:
                             cols.append(pa.array(all_spans[lo : lo + 20_000].astype(np.int32)))
                             cols += map(binary, contexts(h, w.first, owner, at, reach, width))
+                        if only:
+                            cols.append(pa.array(hot[lo : lo + 20_000]))
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("__text"), *([F.col(only).alias("__only")] if only else []))
-    return frame.mapInArrow(run, f"key long, id {kind}, at long" + (", span int, back binary, ahead binary" if reach else ""))
+    more = [F.col(only[0]).alias("wanted"), F.col(only[1]).alias("crowded")] if only else []
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), *more)
+    return frame.mapInArrow(run, f"key long, id {kind}, at long" + (", span int, back binary, ahead binary" if reach else "") + (", hot boolean" if only else ""))
 
 
-def repeated(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int, width: int, name: str, block: int = words.BLOCK_BYTES) -> DataFrame:
-    """Anchors with contexts whose key more than one document has, written to the shared folder.
+def repeated(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int, width: int, name: str, block: int = words.BLOCK_BYTES, crowd: int = 0) -> DataFrame:
+    """Anchors with contexts whose key stands at two places or more, written to the shared folder.
 
-    Up to BROADCAST_KEYS such keys are broadcast; more meet the anchors, without contexts, in a join.
+    ``hot`` marks keys of more than ``crowd`` anchors. Up to BROADCAST_KEYS such keys are broadcast;
+    more meet the anchors, without contexts, in a join. Rows without an id are left out.
     """
-    keys = anchored(docs, anchor, id_col, text, block=block).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    keys = materialize(keys.where("a <> b").select("key"), f"{name}-keys")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id is not null")
+    place = F.xxhash64("id", "at")
+    keys = anchored(docs, anchor, "id", "text", block=block).groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"))
+    keys = materialize(keys.where("a <> b").select("key", (F.col("n") > crowd).alias("hot")), f"{name}-keys")
     if keys.count() <= BROADCAST_KEYS:
-        rows = anchored(docs, anchor, id_col, text, reach, width, block).join(F.broadcast(keys), "key", "left_semi")
+        rows = anchored(docs, anchor, "id", "text", reach, width, block).join(F.broadcast(keys), "key")
     else:
         # contexts are large: shuffle anchors without them, then take the texts to their own repeated keys
-        light = anchored(docs, anchor, id_col, text, block=block).select("key", "id").distinct().join(keys, "key", "left_semi")
-        mine = light.groupBy(F.col("id").alias("__id")).agg(F.collect_list("key").alias("__keys"))
-        held = docs.select(id_col, text).join(mine, F.col(id_col).eqNullSafe(F.col("__id")))
-        rows = anchored(held, anchor, id_col, text, reach, width, block, "__keys")
+        light = anchored(docs, anchor, "id", "text", block=block).select("key", "id").distinct().join(keys, "key")
+        mine = light.groupBy("id").agg(F.collect_list("key").alias("wanted"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("crowded"))
+        rows = anchored(docs.join(mine, "id"), anchor, "id", "text", reach, width, block, ("wanted", "crowded"))
     return materialize(rows, f"{name}-rows")
 
 
-def neighbours(rows: DataFrame, order: list[str], judge: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], reach: int, width: int, near: int = 1) -> DataFrame:
-    """(id, first, last, other) for rows that ``judge`` accepts with a neighbour from another document.
+def merged(spans: DataFrame, id_col: str) -> DataFrame:
+    """(id, spans, n_repeated, component_id) of the documents with a span.
 
-    The rows are sorted by ``order``, id and place over all partitions. ``judge`` gets the columns
-    (key, at, span, back, ahead) and two arrays of positions, and returns, for each pair, whether it
-    counts and how many words before and from the anchor belong to the match. A row is compared with
-    the nearest ``near`` runs of another document on each side; rows at the ends of partitions meet
-    in one small table of at most four rows a partition.
+    ``spans`` has (id, first, last, other): words first..last of document id, and a document that is in
+    one class with it; first may be null, then the row is a link only. Touching spans are merged; the
+    class is named by its least id.
     """
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, at long, first long, last long, other {kind}, key long, span int, back binary, ahead binary"
-    keep = ["key", "id", "at", "span", "back", "ahead"]
-
-    def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = batch.num_rows
-        col = {"key": np.asarray(batch.column("key")), "at": np.asarray(batch.column("at")), "span": np.asarray(batch.column("span")), "back": unpack(batch.column("back"), reach, width), "ahead": unpack(batch.column("ahead"), reach, width)}
-        ids = batch.column("id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        run = np.searchsorted(begin, np.arange(n), "right") - 1
-        stop = np.append(begin[1:], n)
-        for k in range(1, near + 1):
-            for step in (-k, k):
-                at = run + step
-                ok = np.flatnonzero((at >= 0) & (at < len(begin)))
-                other = (stop[np.clip(at, 0, len(begin) - 1)] - 1 if step < 0 else begin[np.clip(at, 0, len(begin) - 1)])[ok]
-                good = (col["key"][ok] == col["key"][other]) & (ids[ok] != ids[other])
-                ok, other = ok[good], other[good]
-                if not len(ok):
-                    continue
-                yes, left, right = judge(col, ok, other)
-                ok, other, left, right = ok[yes], other[yes], left[yes], right[yes]
-                at = col["at"][ok]
-                nothing = pa.nulls(len(ok), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ok)), pa.array(at), pa.array(at - left), pa.array(at + right), batch.column("id").take(pa.array(other)), pa.nulls(len(ok), pa.int64()), pa.nulls(len(ok), pa.int32()), nothing, nothing], names=["id", "at", "first", "last", "other", "key", "span", "back", "ahead"])
-
-    def edge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        none = pa.nulls(batch.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("at"), none, none, pa.nulls(batch.num_rows, batch.schema.field("id").type), batch.column("key"), batch.column("span"), batch.column("back"), batch.column("ahead")], names=["id", "at", "first", "last", "other", "key", "span", "back", "ahead"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for batch in batches:
-            batch = batch.select(keep)
-            if not batch.num_rows:
-                continue
-            if tail is None:
-                yield edge(batch.slice(0, 2))
-            else:
-                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            for lo in range(0, max(1, batch.num_rows - 16), 20_000):
-                yield from compare(batch.slice(lo, 20_000 + 16))
-            tail = batch.slice(max(0, batch.num_rows - 16))
-        if tail is not None:
-            yield edge(tail.slice(max(0, tail.num_rows - 2)))
-
-    def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        # rows of a partition with one or two rows come twice
-        frame = frame.sort_values([*order, "id", "at"])[keep].drop_duplicates(["key", "id", "at"])
-        batch = pa.RecordBatch.from_pandas(frame, preserve_index=False)
-        out = [b.to_pandas() for b in compare(batch)]
-        names = ["id", "at", "first", "last", "other"]
-        return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype=frame["id"].dtype if c in ("id", "other") else "int64") for c in names})
-
-    by = [*order, "id", "at"]
-    found = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), "found")
-    ends = found.where("first is null").select(*keep)
-    more = ends.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(edges, f"id {kind}, at long, first long, last long, other {kind}")
-    return found.where("first is not null").select("id", "at", "first", "last", "other").unionByName(more)
-
-
-def merged(spans: DataFrame, id_col: str) -> DataFrame:
-    """(id, spans, n_repeated, linked_id): touching spans merged, the words in them, and the least other id."""
-    lists = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"), F.min("other").alias("linked_id"))
-    zero = F.array().cast("array<struct<first:long,last:long>>")
-
-    def step(acc, s):
-        end = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(end["first"].alias("first"), F.greatest(end["last"], s["last"]).alias("last"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] >= s["first"]), grown).otherwise(F.concat(acc, F.array(s)))
-
-    lists = lists.withColumn("spans", F.aggregate("s", zero, step))
-    words_in = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
-    return lists.select(F.col("id").alias(id_col), "spans", words_in.alias("n_repeated"), "linked_id")
+    spans = materialize(spans.distinct(), "spans")
+    ordered = Window.partitionBy("id").orderBy("first", "last")
+    rows = spans.where("first is not null").select("id", "first", "last").distinct()
+    rows = rows.withColumn("before", F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("part", F.count(F.when(F.col("before") >= F.col("first"), None).otherwise(1)).over(ordered))
+    rows = rows.groupBy("id", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum(F.col("last") - F.col("first")).alias("n_repeated"))
+    label = components(spans.select("id", "other"), "id", "other")
+    least = label.groupBy("label").agg(F.min("node").alias("component_id"))
+    named = label.join(least, "label").select(F.col("node").alias("id"), "component_id")
+    rows = rows.join(named, "id", "left")
+    return rows.select(F.col("id").alias(id_col), "spans", "n_repeated", F.coalesce("component_id", "id").alias("component_id"))

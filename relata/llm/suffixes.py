@@ -3,21 +3,22 @@
 Suffixes start at minimisers only: of every WINDOW successive hashes of K words the least one is
 kept, so any two equal passages of WINDOW + K - 1 = MIN_WORDS words have such a position in common.
 
-1. Suffixes whose first K words only one document has can't begin a repeat; a combined aggregate
+1. Suffixes whose first K words stand at one place only can't begin a repeat; a combined aggregate
    over the hashes of those words finds the others.
 2. These get a bounded context, MIN_WORDS word hashes (24 bits each) to the left and to the right.
    Every passage of MIN_WORDS words around the position lies in it; a longer one has more positions.
 3. They are sorted over all partitions by their words to the right, then those to the left. For each
    place ``left`` of the position in a passage, rows that share the passage's right side lie side by
-   side; the stretches of equal passages among them are its chains. A chain with two documents is
-   a repeat.
+   side; the stretches of equal passages among them are its chains. A chain with two places is a
+   repeat.
 4. Rows with another left side may part equal passages into more chains. Wherever that can be, at
    the ends of a batch too, each chain sends a hash of its passage, and equal ones are brought
    together by an aggregate. So no passage is missed, however many documents stand between two equal
    ones, and the work is linear: at most MIN_WORDS - K + 1 hashes a row, none inside a chain of copies.
 
-Words are case-sensitive. A text of fewer words, or none, or null has no suffix. Rows of one id are
-one document; repeats inside one document don't count.
+Words are case-sensitive. Repeats inside one document count too. Links go to one row of each chain and
+one document of each passage, so documents linked in any way are in one class. A text of fewer words,
+or none, or null has no suffix, a row without an id is left out, and repeated rows add nothing.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def chains(rows: DataFrame, min_words: int, k: int) -> DataFrame:
             left = np.where(same, anchors.common(back[1:], back[:-1]), -1)
             right = np.where(same, anchors.common(ahead[1:], ahead[:-1]), -1)
             has_left, has_right = (back != 0).sum(axis=1), (ahead != 0).sum(axis=1)
-            change = ids[1:] != ids[:-1]
+            change = (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])
             mates = np.full((min_words - k + 1, n), -1, np.int64)
             sent = []
             for o in range(min_words - k + 1):
@@ -81,13 +82,13 @@ def chains(rows: DataFrame, min_words: int, k: int) -> DataFrame:
                 group = np.concatenate(([0], np.cumsum(~near)))
                 chain = np.concatenate(([0], np.cumsum(~link)))
                 head = np.flatnonzero(np.concatenate(([True], ~link)))
-                # the first row of another document than the head's
+                # the first row of another place than the head's
                 differs = np.flatnonzero(link & change) + 1
                 mate = np.full(len(head), -1, np.int64)
                 mate[chain[differs[::-1]]] = differs[::-1]
                 own = mate[chain]
                 first = head[chain]
-                mates[o] = np.where(own < 0, -1, np.where(ids == ids[first], own, first))
+                mates[o] = np.where(own < 0, -1, np.where((ids == ids[first]) & (at == at[first]), own, first))
                 broken = np.zeros(group[-1] + 1, bool)
                 broken[[0, -1]] = True
                 broken[group[1:][near & ~link]] = True
@@ -126,21 +127,25 @@ def chains(rows: DataFrame, min_words: int, k: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
-    """(id, first, last, other): spans of words that another document has too, unmerged."""
+    """(id, first, last, other): spans of words that stand elsewhere too, unmerged, and a document of their class.
+
+    A row without a span is a link only.
+    """
     rows = anchors.repeated(docs, minimisers(min_words, k), id_col, text, min_words, WIDTH, "suffix")
     found = materialize(chains(rows, min_words, k), "chains")
     sent = found.where("passage is not null")
-    least, most = F.least("id", "other"), F.greatest("id", "other")  # nulls don't count
-    shared = sent.groupBy("passage").agg(F.min(least).alias("a"), F.max(most).alias("b"), F.count("first").alias("n")).where("a <> b and n > 0")
-    shared = materialize(shared, "passages")
-    alone = sent.where("first is not null").select("id", "first", "last", "passage")
+    # a chain that is a repeat sends its head without a place
+    place = F.when(F.col("first").isNotNull(), F.xxhash64("id", "first"))
+    least = F.least("id", "other")  # nulls don't count
+    shared = sent.groupBy("passage").agg(F.min(least).alias("other"), F.min(place).alias("p"), F.max(place).alias("q"), F.count("first").alias("n"), F.count(F.lit(1)).alias("all"))
+    shared = materialize(shared.where("all > n or p <> q").select("passage", "other", "n"), "passages")
+    alone = sent.select("id", "first", F.when(F.col("first").isNotNull(), F.col("last")).alias("last"), "passage")
     # frequent passages are few: at most one in HOT rows
     hot = alone.join(F.broadcast(shared.where(F.col("n") > HOT)), "passage")
     rest = alone.join(shared.where(F.col("n") <= HOT), "passage")
-    more = hot.unionByName(rest).select("id", "first", "last", F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    more = hot.unionByName(rest).select("id", "first", "last", "other")
     return found.where("passage is null").select("id", "first", "last", "other").unionByName(more)
 
 
 def suffixes_query(spark, sf_dir: str) -> DataFrame:
-    out = anchors.merged(repeats(table(spark, sf_dir, "documents")), "doc_id")
-    return out.select("doc_id", "spans", "n_repeated", "linked_id")
+    return anchors.merged(repeats(table(spark, sf_dir, "documents")), "doc_id")
