@@ -12,8 +12,8 @@ word count, and only those of ``min_chars`` characters or more. Exact duplicates
   segments is the index row itself);
 * rows of a key meet in sorted order and are paired if the counts of 16 classes of characters allow
   the distance; a pair is then verified on the texts by banded bit-parallel edit distance;
-* a crowded key, of more than HOT_ROWS rows or CROWD pairs a line, sends no pairs. Its rows come
-  again with their texts, dealt to a grid of index blocks by probe blocks if they are many, and each
+* a crowded key, of more than HOT_ROWS rows or CROWD pairs a line, sends no pairs. Its rows are
+  joined with their texts, dealt to a grid of index blocks by probe blocks if they are many, and each
   cell verifies its candidates in place and sends a spanning forest of the links it found.
 
 Links of near-equal lines form groups; of each group the first line by (id, number of the line)
@@ -321,32 +321,36 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau:
                 key, side, line, sign = segment_rows(Lines(b.column("text"), min_chars), tau, min_fuzzy)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, side, line, sign)], names=["key", "side", "line", "sign"])
 
+    def sent(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, side: np.ndarray | None = None, sign: np.ndarray | None = None) -> pa.RecordBatch:
+        """Pairs (a, b), rows of a crowded key with their line in ``a``, or a key of too many rows."""
+        none = lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
+        cols = [pa.array(a, pa.int64()), none(b, pa.int64()), none(key, pa.int64()), none(side, pa.int8()), none(sign, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "side", "sign"])
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, hot in words.by_key(batches, hot_rows):
-            crowded, a, b = [] if hot is None else [hot], [], []
-            if hot is None:
-                key, side, line, sign = (np.asarray(x) for x in columns)
-                for lo, hi in promising(key, side, line):
-                    x, y = run_pairs(side[lo:hi], line[lo:hi], sign[lo:hi].view(np.uint64), tau)
-                    if len(x) > CROWD * (hi - lo):
-                        crowded.append(int(key[lo]))
-                    elif len(x):
-                        a.append(x)
-                        b.append(y)
-            a.append(np.array(crowded, np.int64))
-            none = pa.nulls(len(crowded), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.concat_arrays([*map(pa.array, b), none])], names=["a", "b"])
+            if hot is not None:
+                yield sent(np.array([hot]), None)
+                continue
+            key, side, line, sign = (np.asarray(x) for x in columns)
+            for lo, hi in promising(key, side, line):
+                x, y = run_pairs(side[lo:hi], line[lo:hi], sign[lo:hi].view(np.uint64), tau)
+                if len(x) > CROWD * (hi - lo):
+                    yield sent(line[lo:hi], None, key[lo:hi], side[lo:hi], sign[lo:hi])
+                elif len(x):
+                    yield sent(x, y)
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(split, "key long, side byte, line long, sign long")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long")
-    met = materialize(met.distinct(), "pairs")
-    pairs, hot = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long, key long, side byte, sign long")
+    met = materialize(met, "pairs")
+    pairs = met.where("b is not null").select("a", "b").distinct()
+    crowd = met.where("key is not null").select("key", "side", F.col("a").alias("line"), "sign")
+    hot = met.where("b is null and key is null").select(F.col("a").alias("key"))
     n_hot = hot.count()
-    needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1")))
-    if n_hot:
-        crowd = materialize(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_LINES else hot, "key"), "crowd")
-        needed = needed.unionByName(crowd.select(F.col("line").alias("h1")))
-    needed = needed.distinct()
+    if n_hot:  # rows of keys that no task may hold are made again
+        crowd = crowd.unionByName(materialize(rows.join(F.broadcast(hot) if n_hot <= BROADCAST_LINES else hot, "key"), "crowd"))
+    needed = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).unionByName(crowd.select(F.col("line").alias("h1")))
+    needed = materialize(needed.distinct(), "needed")
     n = needed.count()
     wanted = lines.join(F.broadcast(needed) if n <= BROADCAST_LINES else needed, "h1", "left_semi")
     wanted = wanted.groupBy(F.col("same.id").alias("id")).agg(F.collect_set(F.struct(F.col("same.number").alias("number"), "h1")).alias("wanted"))
@@ -372,7 +376,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau:
     both = pairs.join(said.select(F.col("line").alias("a"), F.col("said").alias("ta")), "a")
     both = both.join(said.select(F.col("line").alias("b"), F.col("said").alias("tb")), "b")
     links = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    return links.unionByName(crowded_links(crowd.join(said, "line"), tau, hot_rows)) if n_hot else links
+    return links.unionByName(crowded_links(crowd.join(said, "line"), tau, hot_rows))
 
 
 def crowded_links(rows: DataFrame, tau: int, hot_rows: int) -> DataFrame:
