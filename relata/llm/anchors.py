@@ -49,15 +49,18 @@ def window_minima(g: np.ndarray, size: int, first: np.ndarray, count: np.ndarray
 
 def contexts(h: np.ndarray, first: np.ndarray, owner: np.ndarray, at: np.ndarray, reach: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the ``reach`` words before each position, nearest first, and from it on; zero outside the text."""
-    tag = (h >> np.uint64(64 - 8 * width)).astype(np.uint64)
+    tag = h >> np.uint64(64 - 8 * width)
     tag[tag == 0] = 1
-    lo, hi = first[owner][:, None], first[owner + 1][:, None]
+    n = np.diff(first)
+    # texts lie ``reach`` zeros apart, so that no window needs a check of its ends
+    shift = reach * (1 + np.arange(len(n)))
+    padded = np.zeros((len(h) + reach * (len(n) + 1), width), np.uint8)
+    padded[np.arange(len(h)) + np.repeat(shift, n)] = np.ascontiguousarray(tag.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 8 - width :]
+    where = at + shift[owner]
     sides = []
-    for offset in (-1 - np.arange(reach), np.arange(reach)):
-        where = at[:, None] + offset[None, :]
-        inside = (where >= lo) & (where < hi)
-        t = np.where(inside, tag[np.clip(where, 0, max(len(h) - 1, 0))], np.uint64(0))
-        sides.append(np.ascontiguousarray(t.astype(">u8")).view(np.uint8).reshape(len(at), reach, 8)[:, :, 8 - width :].reshape(len(at), reach * width))
+    for tags, start in ((np.ascontiguousarray(padded[::-1]), len(padded) - where), (padded, where)):
+        view = np.lib.stride_tricks.sliding_window_view(tags.reshape(-1), reach * width)
+        sides.append(view[start * width])
     return sides[0], sides[1]
 
 
@@ -74,6 +77,8 @@ def unpack(column: pa.Array, reach: int, width: int) -> np.ndarray:
         column = column.combine_chunks()
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
     raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(n, reach, width)
+    if width == 2:
+        return raw.reshape(n, reach * 2).view(">u2").astype(np.uint32)
     out = np.zeros((n, reach), np.uint32)
     for i in range(width):
         out = (out << np.uint32(8)) | raw[:, :, i]
@@ -91,14 +96,14 @@ def _owned(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return words.mixed(keys) + words.mixed(owner.astype(np.uint64) + np.uint64(1))
 
 
-Anchor = Callable[[pa.Array], tuple[words.Words, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
+Anchor = Callable[[pa.Array, bool], tuple[words.Words, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
 
 
 def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int = 0, width: int = 3, block: int = words.BLOCK_BYTES, only: tuple[str, str] | None = None) -> DataFrame:
     """(key, id, at) of every anchor of every text, with its contexts (span, back, ahead) if ``reach``.
 
     ``anchor`` gives the words of a block, their hashes, and lists of (positions, keys, spans); what a
-    span means is the caller's business. ``only`` names two columns with the keys wanted of each text
+    span means is the caller's business, and it is only asked for with contexts. ``only`` names two columns with the keys wanted of each text
     and those of them that are hot; there is a column ``hot`` then.
     """
     names = ["key", "id", "at", *(["span", "back", "ahead"] if reach else []), *(["hot"] if only else [])]
@@ -111,7 +116,7 @@ def anchored(docs: DataFrame, anchor: Anchor, id_col: str, text: str, reach: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.blocks(batch, "text", block):
-                w, h, found = anchor(b.column("text"))
+                w, h, found = anchor(b.column("text"), reach > 0)
                 hot = None
                 if only:
                     every, crowded = wanted(b.column("wanted")), wanted(b.column("crowded"))
@@ -163,14 +168,14 @@ def merged(spans: DataFrame, id_col: str) -> DataFrame:
     one class with it; first may be null, then the row is a link only. Touching spans are merged; the
     class is named by its least id.
     """
-    spans = materialize(spans.distinct(), "spans")
+    spans = materialize(spans, "spans")
     ordered = Window.partitionBy("id").orderBy("first", "last")
-    rows = spans.where("first is not null").select("id", "first", "last").distinct()
+    rows = spans.where("first is not null").select("id", "first", "last")
     rows = rows.withColumn("before", F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("part", F.count(F.when(F.col("before") >= F.col("first"), None).otherwise(1)).over(ordered))
     rows = rows.groupBy("id", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum(F.col("last") - F.col("first")).alias("n_repeated"))
-    label = components(spans.select("id", "other"), "id", "other")
+    label = components(spans.select("id", "other").distinct(), "id", "other")
     least = label.groupBy("label").agg(F.min("node").alias("component_id"))
     named = label.join(least, "label").select(F.col("node").alias("id"), "component_id")
     rows = rows.join(named, "id", "left")

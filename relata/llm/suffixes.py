@@ -42,7 +42,7 @@ HOT = 10_000
 def minimisers(min_words: int, k: int):
     window = min_words - k + 1
 
-    def anchor(column: pa.Array):
+    def anchor(column: pa.Array, spans: bool):
         w = words.split(column)
         h = words.mixed(words.word_hashes(w))
         g = words.gram_hashes(h, list(range(k)))
