@@ -13,11 +13,20 @@ each half, and only the radius ``radius // 2`` enters its triangle bounds.
   on all 64 bits.
 * A shard returns a spanning forest of the links found in it, at most one row for each point.
 
-Components of these links, with the least id of each, are the duplicate groups.
+Components of these links, with the least id of each, are the duplicate groups of ``groups``.
+
+``similar_groups`` finds texts whose sets of k-word shingles have a Jaccard similarity of ``similarity``
+or more. Two such texts differ in about 15 % of their fingerprint bits at 0.8, too many for one radius
+that prunes. So a text has FULL bits in TABLES words of 32; two texts of similarity 0.8 are within 3
+bits in one of the eight words with probability 0.92, at 0.85 with 0.985, at 0.9 with 0.999. Each word
+is searched by two trees as above, one for each 16 bits. In a shard the pairs that are near in a word
+are held against all FULL bits (three standard deviations beyond the expectation), the near ones
+first, and a spanning forest of them goes on; every edge of it is verified on the two shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import components, materialize
+from .common import components, materialize, packed
 
-MAX_LEAVES = 1 << 14
+MAX_LEAVES = 1 << 17
 LEAF = 1024
 SAMPLE_PER_LEAF = 16
+TABLES = 8
+FULL = 32 * TABLES
+SIMILAR_LEAF = 1 << 16
+BROADCAST_IDS = 1_000_000
+_WORDS = tuple(f"f{j}" for j in range(FULL // 64))
 
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
 
-def fingerprint_block(column: pa.Array, k: int) -> np.ndarray:
-    """64-bit majority fingerprints; a text without words has zero."""
+def fingerprint_block(column: pa.Array, k: int, many: int = 1) -> np.ndarray:
+    """``many`` 64-bit majority fingerprints a text, as columns; a text without words has zeros."""
     w = words.split(column, lower=True)
     start, end, first = words.shingles(w, k)
     h = words.xxh64(w.buf, start, end)
@@ -47,31 +61,35 @@ def fingerprint_block(column: pa.Array, k: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(count)), parts)
     nth = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(parts)))[:-1], parts)
     cut = first[:-1][owner] + 255 * nth
-    out = np.zeros(len(count), np.uint64)
+    out = np.zeros((len(count), many), np.uint64)
     if not len(owner):
         return out
     begins = np.flatnonzero(np.diff(owner, prepend=-1))
     texts = owner[begins]
-    for bit in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), cut)
-        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), begins, axis=0)
-        major = (2 * ones > count[texts][:, None]).astype(np.uint64)
-        for lane in range(8):
-            out[texts] |= major[:, lane] << np.uint64(8 * lane + bit)
+    for j in range(many):
+        x = h if j == 0 else words.mixed(h ^ words.mixed(np.array([j], np.uint64))[0])
+        for bit in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(bit)) & np.uint64(0x0101010101010101), cut)
+            ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), begins, axis=0)
+            major = (2 * ones > count[texts][:, None]).astype(np.uint64)
+            for lane in range(8):
+                out[texts, j] |= major[:, lane] << np.uint64(8 * lane + bit)
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", k: int = 3, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
-    """The ``keep`` columns and ``name``: the fingerprint as a signed long. Null texts have zero."""
-    schema = docs.select(*keep, F.lit(0).cast("long").alias(name)).schema
+def fingerprints(docs: DataFrame, text: str = "text", k: int = 3, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """The ``keep`` columns and, as signed longs, a fingerprint for each name. Null texts have zeros."""
+    held = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    schema = docs.select(*held, *(F.lit(0).cast("long").alias(x) for x in names)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "__text"):
-                fp = fingerprint_block(b.column("__text"), k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fp)], names=[*keep, name])
+            for b in words.blocks(batch, "text"):
+                fp = fingerprint_block(b.column("text"), k, len(names)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *map(pa.array, fp.T)], names=[*schema.names])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    out = docs.select(*held, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names)
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -157,6 +175,19 @@ class _Forest:
                 return
             np.minimum.at(self.up, a, b)
 
+    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join pairs; the places of those that a spanning forest needs."""
+        used = [np.zeros(0, np.int64)]
+        todo = np.arange(len(a))
+        while len(todo):
+            x, y = self.flat(a[todo]), self.flat(b[todo])
+            todo, x, y = todo[x != y], x[x != y], y[x != y]
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            high, first = np.unique(high, return_index=True)
+            self.up[high] = low[first]
+            used.append(todo[first])
+        return np.concatenate(used)
+
     def flat(self, x: np.ndarray) -> np.ndarray:
         x = self.up[x]
         while True:
@@ -166,10 +197,9 @@ class _Forest:
             x = y
 
 
-def near_links(points: np.ndarray, home: np.ndarray, radius: int, half: int) -> np.ndarray:
-    """Root position of each point after joining all pairs of a home and any point within ``radius``."""
-    forest = _Forest(len(points))
-    parts = [points & _HALVES[half], points & _HALVES[1 - half]]
+def close_pairs(points: np.ndarray, home: np.ndarray, radius: int, masks: tuple[np.uint64, np.uint64]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of places of a home and any point within ``radius`` in all; ``radius // 2`` holds in the first mask."""
+    parts = [points & m for m in masks]
     todo = [(np.flatnonzero(home), np.arange(len(points)), 0)]
     while todo:
         mine, all_, level = todo.pop()
@@ -184,7 +214,7 @@ def near_links(points: np.ndarray, home: np.ndarray, radius: int, half: int) ->
             for i in range(0, len(mine), step):
                 m = mine[i : i + step]
                 x, y = np.nonzero(_distance(points[m][:, None], points[all_][None, :]) <= radius)
-                forest.join(m[x], all_[y])
+                yield m[x], all_[y]
             continue
         v, mu = cut
         # equal in the first part once level is 1: then all of the radius may be in the second
@@ -192,25 +222,40 @@ def near_links(points: np.ndarray, home: np.ndarray, radius: int, half: int) ->
         dm, da = _distance(parts[level][mine], v), _distance(parts[level][all_], v).astype(np.int64)
         todo.append((mine[dm <= mu], all_[da - r <= mu], level))
         todo.append((mine[dm > mu], all_[da + r > mu], level))
-    return forest.flat(np.arange(len(points)))
 
 
-def links(points: DataFrame, radius: int = 3, name: str = "fp", leaf: int = LEAF) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct ``name`` within ``radius`` bits.
+def near_links(points: np.ndarray, home: np.ndarray, radius: int, half: int) -> np.ndarray:
+    """Root position of each point after joining all pairs of a home and any point within ``radius``."""
+    tree = _Forest(len(points))
+    for x, y in close_pairs(points, home, radius, (_HALVES[half], _HALVES[1 - half])):
+        tree.join(x, y)
+    return tree.flat(np.arange(len(points)))
 
-    ``points`` has each fingerprint once. Nothing but the sample of at most
-    MAX_LEAVES * SAMPLE_PER_LEAF fingerprints comes to the driver.
-    """
-    spark = points.sparkSession
+
+def _sample(points: DataFrame, names: list[str], leaf: int) -> tuple[int, np.ndarray]:
+    """Leaves of a tree, and at most 2 * SAMPLE_PER_LEAF * MAX_LEAVES points, picked by a hash, in random order."""
     n = points.count()
     leaves = int(min(MAX_LEAVES, max(1, n // leaf)))
     want = leaves * SAMPLE_PER_LEAF
     # fingerprints are spread like hashes, but copies may crowd: sample by a hash of them
     share = min(1.0, 1.2 * want / max(n, 1))
-    picked = points.where((F.xxhash64(name) % 1000003 + 1000003) % 1000003 < F.lit(int(share * 1000003) + 1)).select(name).limit(2 * want)
-    sample = np.sort(picked.toPandas()[name].to_numpy(np.int64)).view(np.uint64)
+    whole = 1 << 40
+    picked = points.where(F.pmod(F.xxhash64(*names), F.lit(whole)) < F.lit(int(share * whole) + 1)).select(*names).limit(2 * want)
+    sample = picked.toPandas().to_numpy(np.int64).reshape(-1, len(names))
+    sample = np.ascontiguousarray(sample[np.lexsort(sample.T)]).view(np.uint64)
     np.random.default_rng(7).shuffle(sample)
-    trees = [fit_tree(np.unique(sample & half), leaves) if leaves > 1 and len(sample) else [] for half in _HALVES]
+    return leaves, sample
+
+
+def links(points: DataFrame, radius: int = 3, name: str = "fp", leaf: int = LEAF) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct ``name`` within ``radius`` bits.
+
+    ``points`` has each fingerprint once. Nothing but the sample of at most
+    MAX_LEAVES * SAMPLE_PER_LEAF fingerprints comes to the driver.
+    """
+    spark = points.sparkSession
+    leaves, sample = _sample(points, [name], leaf)
+    trees = [fit_tree(np.unique(sample[:, 0] & half), leaves) if leaves > 1 and len(sample) else [] for half in _HALVES]
     sent = spark.sparkContext.broadcast(trees)
     r = radius // 2
 
@@ -247,15 +292,121 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each duplicate group: the one of least id (of repeated ids, any one).
+def _word(p: np.ndarray, table: int) -> np.ndarray:
+    return (p[:, table // 2] >> np.uint64(32 * (table % 2))) & np.uint64(0xFFFFFFFF)
+
+
+_PARTS = (np.uint64(0xFFFF0000), np.uint64(0x0000FFFF))
+
+
+def similar_links(points: DataFrame, similarity: float, leaf: int = SIMILAR_LEAF) -> DataFrame:
+    """Edges (a, b) between ``node``s of ``points`` (node, f0, f1, ...) that may have ``similarity``, a forest a shard."""
+    spark = points.sparkSession
+    leaves, sample = _sample(points, list(_WORDS), leaf)
+    trees = [[fit_tree(np.unique(_word(sample, t) & part), leaves) if leaves > 1 and len(sample) else [] for part in _PARTS] for t in range(TABLES)]
+    sent = spark.sparkContext.broadcast(trees)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    expected = FULL * share
+    limits = (expected, expected + 3 * math.sqrt(expected * (1 - share)))
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                b = batch.slice(lo, 4096)
+                p = np.stack([np.asarray(b.column(x)) for x in _WORDS], axis=1).view(np.uint64)
+                for t in range(TABLES):
+                    for half, tree in enumerate(sent.value[t]):
+                        who, where, home = route(tree, _word(p, t) & _PARTS[half], 1)
+                        take = pa.array(who)
+                        yield pa.RecordBatch.from_arrays([pa.array((where * TABLES + t) * 2 + half, pa.int32()), pa.array(home), *(b.column(x).take(take) for x in ("node", *_WORDS))], names=["shard", "home", "node", *_WORDS])
 
-    Rows without a word say nothing alike; they form one group by definition and keep one row.
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        shard = int(group["shard"].iloc[0])
+        half, table = shard % 2, shard // 2 % TABLES
+        p = group[list(_WORDS)].to_numpy(np.int64).view(np.uint64)
+        node, home, word = group["node"].to_numpy(np.int64), group["home"].to_numpy(bool), _word(p, table)
+        tree = _Forest(len(p))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for limit in limits:
+            for x, y in close_pairs(word, home, 3, (_PARTS[half], _PARTS[1 - half])):
+                ok = x < y if limit == limits[0] else tree.up[x] != tree.up[y]
+                x, y = x[ok | ~home[y]], y[ok | ~home[y]]
+                near = np.bitwise_count(p[x] ^ p[y]).sum(axis=1) <= limit
+                x, y = x[near], y[near]
+                used = tree.span(x, y)
+                a.append(x[used])
+                b.append(y[used])
+            tree.up = tree.flat(np.arange(len(p)))
+        return pd.DataFrame({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)]})
+
+    spread = points.select("node", *_WORDS).mapInArrow(routed, "shard int, home boolean, node long, " + ", ".join(f"{x} long" for x in _WORDS))
+    edges = spread.groupBy("shard").applyInPandas(search, "a long, b long")
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, keep: str, text: str, k: int) -> DataFrame:
+    """(keep, size, shingles): the different hashes of k-word shingles of each text, sorted."""
+    schema = docs.select(F.col(keep).alias("keep"), F.array().cast("array<long>").alias("shingles")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in words.blocks(batch, "text"):
+                w = words.split(b.column("text"), lower=True)
+                start, end, first = words.shingles(w, k)
+                h = words.xxh64(w.buf, start, end).view(np.int64)
+                sets = [np.unique(h[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["keep", "shingles"])
+
+    return docs.select(F.col(keep).alias("keep"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, node, component, first): rows with the hash of their fingerprint, their group, and its least (id, node).
+
+    Rows without a word are one group. A null id is less than any other.
+    """
+    rows = fingerprints(docs, text, k, (id_col,), _WORDS).withColumnRenamed(id_col, "id")
+    rows = materialize(rows.withColumn("node", F.xxhash64(*_WORDS)), "similar")
+    points = materialize(rows.groupBy("node", *_WORDS).agg(F.min("id").alias("least"), F.count("id").alias("ids")), "points")
+    edges = materialize(similar_links(points, similarity), "edges")
+    mine = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    # one document of each point in question; any text of a point has its fingerprint
+    held = points.join(mine, "node", "left_semi").groupBy("least").agg(F.collect_set("node").alias("nodes"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    texts = texts.join(held, F.col("id").eqNullSafe(F.col("least"))).select(F.struct("least", "nodes").alias("held"), "text")
+    known = fingerprints(texts, "text", k, ("held", "text"), _WORDS).withColumn("node", F.xxhash64(*_WORDS))
+    known = known.where(F.array_contains("held.nodes", F.col("node"))).dropDuplicates(["node"])
+    sets = materialize(shingle_sets(known, "node", "text", k), "sets")
+    both = edges.join(sets.select(F.col("keep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("keep").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    good = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    label = components(good)
+    named = rows.join(label, "node", "left").select("id", "node", F.coalesce("label", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
+    return named.join(first, "component")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: the one of least id, a null id before all others.
+
+    Repeated rows keep one. Rows without a word say nothing alike; they are one group and keep one row.
     """
-    group = groups(docs, id_col, text, k, radius)
-    first = group.groupBy("component_id").agg(F.min(id_col).alias("__keep")).select("__keep")
-    rows = docs.join(first, docs[id_col].eqNullSafe(first["__keep"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    rows = materialize(similar_groups(docs, id_col, text, k, similarity), "groups")
+    each = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "node") == F.col("first")).alias("stays"))
+    each = materialize(each.where("n > 1 or not stays"), "going")
+    n = each.count()
+    several = each.where("n > 1").select("id")
+    data = packed(docs, F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"))
+    going = each.select("id")
+    out = data.join(F.broadcast(going) if n <= BROADCAST_IDS else going, F.col("key").eqNullSafe(F.col("id")), "left_anti").select("row")
+    if not several.isEmpty():
+        # rows of one id are told apart by their fingerprints
+        more = data.join(several, F.col("key").eqNullSafe(F.col("id")), "left_semi")
+        more = fingerprints(more, "text", k, ("row", "key"), _WORDS).withColumn("node", F.xxhash64(*_WORDS)).select("row", "key", "node")
+        first = rows.select(F.col("first.id").alias("id"), F.col("first.node").alias("kept")).distinct()
+        more = more.join(first, F.col("key").eqNullSafe(F.col("id")) & (F.col("node") == F.col("kept"))).dropDuplicates(["key", "node"])
+        out = out.unionByName(more.select("row"))
+    return out.select("row.*")
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:

@@ -59,9 +59,6 @@ def test_groups_match_brute_force(spark):
     df = spark.createDataFrame([(d, t, "s", "x", 1) for d, t in rows], SCHEMA)
     got = sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.groups(df).collect())
     assert got == plain_groups(rows)
-    kept = simhash.dedup(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
 def test_empty_table(spark):
@@ -104,3 +101,64 @@ def test_links_are_complete_over_many_shards(spark):
         want.setdefault(root(x), set()).add(x)
         mine.setdefault(got.get(s(x), s(x)), set()).add(x)
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, mine.values()))
+
+
+def plain_sets(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def near_copies(rnd, n, lo, hi):
+    """Pairs of texts whose shingle sets have a similarity in [lo, hi)."""
+    out = []
+    while len(out) < n:
+        a = [f"v{rnd.randrange(10**9)}" for _ in range(300)]
+        b = list(a)
+        for _ in range(rnd.randint(1, 12)):
+            b[rnd.randrange(300)] = f"x{rnd.randrange(10**9)}"
+        x, y = plain_sets(" ".join(a)), plain_sets(" ".join(b))
+        if lo <= len(x & y) / len(x | y) < hi:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_dedup_of_similar_texts(spark):
+    rnd = random.Random(12)
+    rows, kinds = [], (("least", 0.8, 0.84, 150, 0.85), ("more", 0.84, 0.95, 150, 0.97), ("not", 0.55, 0.78, 100, 0.0))
+    for name, lo, hi, n, _ in kinds:
+        for a, b in near_copies(rnd, n, lo, hi):
+            rows += [(len(rows), a, name), (len(rows) + 1, b, name)]
+    schema = "doc_id long, text string, source string, row long, key long, id long, node long, __keep long"
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], schema)
+    kept = simhash.dedup(df)
+    assert kept.schema == df.schema
+    left = {r.doc_id for r in kept.collect()}
+    for name, _, _, n, least in kinds:
+        gone = sum(s == name and d not in left for d, _, s in rows)
+        assert gone == 0 if name == "not" else gone >= least * n, (name, gone)
+    assert all(d in left for d, _, _ in rows if d % 2 == 0)
+
+
+def test_dedup_keeps_one_of_each_group(spark):
+    rnd = random.Random(13)
+    base = [f"v{rnd.randrange(10**9)}" for _ in range(200)]
+    rows = [(10 + i, " ".join(base[: 1 + i % 2] + base[1 + i % 2 :])) for i in range(200)]  # copies
+    for i in range(60):  # near copies, each with another word
+        b = list(base)
+        b[rnd.randrange(200)] = f"x{i}"
+        rows.append((300 + i, " ".join(b)))
+    rows += [(1, None), (2, ""), (3, " \t"), (5, "One two"), (6, "one  TWO"), (7, "three"), (7, "three"), (8, "four words are here"), (8, "and five other words here")]
+    rows += [(None, "a null id"), (None, "a null id"), (9, "a null id"), (400, " ".join(rnd.choice(base) for _ in range(50_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, (r.text or "")[:9]) for r in simhash.dedup(df).collect()), key=str)
+    want = [(10, " ".join(base)[:9]), (1, ""), (5, "One two"), (7, "three"), (8, "four word"), (8, "and five "), (None, "a null id"), (400, rows[-1][1][:9])]
+    assert left == sorted(want, key=str)
+
+
+def test_similar_links_over_many_shards(spark, monkeypatch):
+    rnd = random.Random(14)
+    rows = [(i, t) for i, t in enumerate(t for pair in near_copies(rnd, 150, 0.85, 0.95) for t in pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id for r in simhash.dedup(df).collect()}
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (8,))
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == one and len(one) <= 155
