@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
-from .common import WORD, table
+from .common import WORD, packed, table
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 5, 7), (0, 2, 4, 5, 8), (0, 1, 4, 7, 8))
-#: Shorter items have a mask for each word that they may lack; at a similarity of 0.8 that is all they may.
+#: Shorter items have a mask for each word that they may lack; at a similarity of 0.8 that is all they may,
+#: and those under five words may lack none.
 SPAN = 10
-MIN_WORDS = 5
+MIN_WORDS = 3
 WINDOW = 20
 SIMILARITY = 0.8
 BLOCK_WORDS = 1_000_000
@@ -45,6 +46,9 @@ class Index:
         short = sorted({int(x) for x in n if MIN_WORDS <= x < SPAN})
         masks = [(m, 0, n >= SPAN) for m in MASKS]
         for x in short:
+            if x < 5:
+                masks.append((tuple(range(x)), 0, n == x))
+                continue
             for lost in range(x):
                 m = [k for k in range(x) if k != lost]
                 masks.append((tuple(k - m[0] for k in m), m[0], n == x))
@@ -63,22 +67,23 @@ class Index:
                 self.tables.append((mask, k[order], p[order], bits))
         self.item_of = np.repeat(np.arange(len(n)), n)
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(position in h, position in the index) of equal seeds."""
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in h and in the index of equal seeds."""
+        where, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for mask, keys, at, bits in self.tables:
             g = words.gram_hashes(h, list(mask))
             maybe = np.flatnonzero(bits[g & np.uint64((1 << _BITS) - 1)])
             lo, hi = np.searchsorted(keys, g[maybe], "left"), np.searchsorted(keys, g[maybe], "right")
-            for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for q in at[a:b].tolist():
-                    yield p, q
+            n = hi - lo
+            where.append(np.repeat(maybe, n))
+            there.append(at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        return np.concatenate(where), np.concatenate(there)
 
     def overlaps(self, h: np.ndarray, first: np.ndarray, window: int, similarity: float) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, share of equal words) of verified alignments, one for a text and item."""
-        aligned: set[tuple[int, int, int]] = set()
-        for p, q in self.hits(h):
-            item = int(self.item_of[q])
-            aligned.add((int(np.searchsorted(first, p, "right")) - 1, item, p - (q - int(self.first[item]))))
+        p, q = self.hits(h)
+        item = self.item_of[q]
+        aligned = np.unique(np.stack((np.searchsorted(first, p, "right") - 1, item, p - (q - self.first[item])), axis=1), axis=0).tolist()
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for text, item, at in aligned:
             test = self.h[self.first[item] : self.first[item + 1]]
@@ -137,23 +142,24 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", window: int = WINDOW, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with all their columns."""
-    spark, columns = docs.sparkSession, docs.columns
-    out = docs
+    """The rows of ``docs`` that hold no test item, with all their columns; null and empty texts stay."""
+    spark = docs.sparkSession
+    out = packed(docs, F.col(text).cast("string").alias("text"))
+    schema = out.schema
     for index in indexes(benchmark, item_col, "text", block_words):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in words.blocks(batch, "__text"):
-                    w = words.split(b.column("__text"), lower=True)
+                for b in words.blocks(batch, "text"):
+                    w = words.split(b.column("text"), lower=True)
                     ok = np.ones(b.num_rows, bool)
                     for got in sent.value.overlaps(words.word_hashes(w), w.first, window, similarity):
                         ok[got[0]] = False
-                    yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(columns))], names=columns).filter(pa.array(ok))
+                    yield b.filter(pa.array(ok))
 
-        out = out.select(*columns, F.col(text).cast("string").alias("__text")).mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.select("row.*")
 
 
 def decontaminate_query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import components, materialize, packed, table
+from .common import components, join_counted, materialize, packed, table
 
 TAU = 2
 MIN_CHARS = 1
@@ -45,8 +45,6 @@ HOT_ROWS = 200_000
 HOT_BYTES = 32 << 20
 CROWD = 4
 BROADCAST_LINES = 1_000_000
-#: Lines with more than this share of all occurrences are at most 100,000; they are joined by broadcast.
-HOT_SHARE = 1e-5
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -417,8 +415,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tau: i
     lines = grouped.join(first, "label").select("h1", "h2", "same", "n", "first").unionByName(alone)
     lines = materialize(lines.where("n > 1 or same <> first"), "removed")
     at = F.struct(F.col("id"), F.col("number"))
-    hot = F.col("n") > int(HOT_SHARE * occ.count()) + 1000
-    gone = occ.join(F.broadcast(lines.where(hot)), ["h1", "h2"]).unionByName(occ.join(lines.where(~hot), ["h1", "h2"]))
+    gone = join_counted(occ, lines, ["h1", "h2"], "n", occ.count())
     return gone.where(~at.eqNullSafe(F.col("first"))).select("id", "number", at.eqNullSafe(F.col("same")).alias("near"))
 
 

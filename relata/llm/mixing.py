@@ -69,15 +69,18 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it, with the copy's number in ``mix_copy``.
+    """Every row of ``docs`` as often as the mix takes it, with the copy's number in ``mix_copy``
+    (with as many ``_`` behind it as make it a new name).
 
     A null text has no words and a null source is a source. Rows of a source without words have
     rate 0 and don't appear. Rows of the same id share a coin. Reruns agree.
     """
     out = rated(docs, id_col, text, source, seed, tuple(docs.columns)).where("copies > 0")
-    copy = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    named = "mix_copy" if "mix_copy" not in docs.columns else "mix_copy_"
-    return copy.select("row.*", F.col("__copy").alias(named))
+    copy = out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    named = "mix_copy"
+    while named in docs.columns:
+        named += "_"
+    return copy.select("row.*", F.col("copy").alias(named))
 
 
 def mixing_query(spark, sf_dir: str) -> DataFrame:

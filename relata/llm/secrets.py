@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_counted, materialize, table
 
 # fixed values: base patterns in their listed order; (kind, pattern, group of the value, least length of that group)
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -80,7 +80,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str
     each = rows.where(F.size("spans") > 0).select("row", "id", "owner", F.explode("spans").alias("s")).select("row", "id", "owner", "s", F.col("s.hash").alias("hash"))
     counts = materialize(ownership(each), "owners")
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") == 1, "live").otherwise("shared")
-    judged = each.join(counts, "hash").withColumn("verdict", verdict)
+    total = counts.agg(F.sum("repositories")).first()[0] or 0
+    judged = join_counted(each, counts, "hash", "repositories", total).withColumn("verdict", verdict)
     judged = judged.where((F.col("s.kind") < len(BASE)) | (F.col("verdict") != "example"))
     full = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("hash"), F.col("owners"), F.col("repositories"), F.col("verdict"))
     back = judged.select("row", full.alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import components, materialize, packed
+from .common import components, join_counted, materialize, packed
 
 MAX_LEAVES = 1 << 17
 LEAF = 1024
@@ -284,12 +284,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     return repeated rows. An empty table returns no row.
     """
     fps = materialize(fingerprints(docs, text, k, (id_col,)), "fp")
-    points = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
+    points = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "points")
     label = components(links(points, radius))
     joined = points.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     whole = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = joined.select("fp", "label").join(whole, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    named = materialize(joined.select("fp", "label", "n").join(whole, "label").select("fp", "component_id", "n"), "named")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    return join_counted(fps, named, "fp", "n", total).select(id_col, "fp", "component_id")
 
 
 def _word(p: np.ndarray, table: int) -> np.ndarray:
@@ -367,7 +368,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = fingerprints(docs, text, k, (id_col,), _WORDS).withColumnRenamed(id_col, "id")
     rows = materialize(rows.withColumn("node", F.xxhash64(*_WORDS)), "similar")
-    points = materialize(rows.groupBy("node", *_WORDS).agg(F.min("id").alias("least"), F.count("id").alias("ids")), "points")
+    points = materialize(rows.groupBy("node", *_WORDS).agg(F.min(F.struct("id"))["id"].alias("least"), F.count(F.lit(1)).alias("n")), "points")
     edges = materialize(similar_links(points, similarity), "edges")
     mine = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     # one document of each point in question; any text of a point has its fingerprint
@@ -381,9 +382,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = F.size(F.array_intersect("x", "y"))
     good = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
     label = components(good)
-    named = rows.join(label, "node", "left").select("id", "node", F.coalesce("label", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
-    return named.join(first, "component")
+    named = points.select("node", "least", "n").join(label, "node", "left").withColumn("component", F.coalesce("label", "node"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("least").alias("id"), "node")).alias("first"))
+    named = materialize(named.join(first, "component").select("node", "component", "first", "n"), "named")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    return join_counted(rows.select("id", "node"), named, "node", "n", total).drop("n")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:

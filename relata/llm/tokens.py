@@ -9,6 +9,9 @@ The vocabulary is a public piece model given by path. It has no unigram scores,
 r has the Zipf score -ln(r + 1); a character outside the vocabulary is spelt in byte pieces. Of
 equal scores the cut with fewer pieces is taken. Each task has its own trie and nothing is shuffled;
 a trie or a table of counts that reaches its bound is begun anew, which costs time but no result.
+Prefixes of more than MAX_DEPTH characters are hardly ever shared: beyond it the scores go on in a
+window of as many places as the longest piece has characters, so a word of any length takes bounded
+memory. Null and empty texts have no words; repeated rows and rows of one id are counted each.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .common import WORD, table
 MARK = "▁"
 MAX_NODES = 400_000
 MAX_COUNTS = 600_000
+MAX_DEPTH = 64
 
 
 def default_model() -> str:
@@ -69,7 +73,7 @@ class Trie:
         child, score, count, pieces, longest = self.child, self.score, self.count, self.pieces, self.longest
         path = [0]
         node = 0
-        for i, c in enumerate(word):
+        for i, c in enumerate(word[:MAX_DEPTH]):
             key = (node, c)
             node = child.get(key)
             if node is None:
@@ -87,7 +91,29 @@ class Trie:
                 score.append(best)
                 count.append(n)
             path.append(node)
-        return count[node]
+        return count[node] if len(word) <= MAX_DEPTH else self.beyond(word, path)
+
+    def beyond(self, word: str, path: list[int]) -> int:
+        """Go on from the trie's last node to the end of a long word."""
+        pieces, longest = self.pieces, self.longest
+        score, count = [self.score[n] for n in path[-longest:]], [self.count[n] for n in path[-longest:]]
+        for i in range(len(path) - 1, len(word)):
+            first = i + 1 - len(score)  # length of the prefix that score[0] is of
+            c = word[i]
+            one = pieces.get(c)
+            spelt = c.encode()
+            best, n = (score[-1] + one, count[-1] + 1) if one is not None else (score[-1] + sum(self.byte[b] for b in spelt), count[-1] + len(spelt))
+            for j in range(max(0, i + 1 - longest), i):
+                s = pieces.get(word[j : i + 1])
+                if s is not None:
+                    s += score[j - first]
+                    if s > best or s == best and count[j - first] + 1 < n:
+                        best, n = s, count[j - first] + 1
+            score.append(best)
+            count.append(n)
+            if len(score) > 64 * longest:
+                del score[:-longest], count[:-longest]
+        return count[-1]
 
 
 class Counts(dict):
@@ -101,7 +127,7 @@ class Counts(dict):
         if len(self.trie.score) > MAX_NODES:
             self.trie.clear()
         n = self.trie.add(MARK + word)
-        if len(word) <= 64:
+        if len(word) <= MAX_DEPTH:
             self[word] = n
         return n
 
@@ -115,9 +141,9 @@ def count(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(Trie(*sent.value))
         for batch in batches:
-            for b in words.blocks(batch, "__text"):
+            for b in words.blocks(batch, "text of it"):
                 n, m = [], []
-                for t in b.column("__text").to_pylist():
+                for t in b.column("text of it").to_pylist():
                     found = find(t) if t else []
                     n.append(len(found))
                     m.append(sum(map(counts.__getitem__, found)))
@@ -125,7 +151,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: st
                         counts.clear()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[id_col, "n_words", "n_tokens"])
 
-    return docs.select(id_col, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text).cast("string").alias("text of it")).mapInArrow(run, schema)
 
 
 def tokens_query(spark, sf_dir: str) -> DataFrame:

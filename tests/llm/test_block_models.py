@@ -9,11 +9,11 @@ from relata.llm import decontaminate as D
 from relata.llm import language as L
 from relata.llm import tokens as K
 
-SCHEMA = "doc_id long, text string, lang string, source string, score double, n_words long, item_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, score double, n_words long, item_id long, __text string, __id long, row long"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(d, t, lang, "s", 0.5, 1, 2) for d, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, lang, "s", 0.5, 1, 2, "u", 3, 4) for d, t, lang in rows], SCHEMA)
 
 
 # --- decontamination -------------------------------------------------------------------------
@@ -36,7 +36,7 @@ def test_decontamination_matches_brute_force(spark):
     rnd = random.Random(7)
     vocab = [f"w{i}" for i in range(200)]
     make = lambda k: [rnd.choice(vocab) for _ in range(k)]
-    items = [make(k) for k in (3, 5, 6, 9, 10, 20, 40, 60)]
+    items = [make(k) for k in (2, 3, 4, 5, 6, 9, 10, 20, 40, 60)]
     rows = [(0, None), (1, ""), (2, " \n")]
     for i in range(3, 160):
         w = make(rnd.randint(0, 80))
@@ -48,9 +48,9 @@ def test_decontamination_matches_brute_force(spark):
             at = rnd.randint(0, len(w))
             w[at:at] = p
         rows.append((i, " ".join(w).upper() if i % 5 == 0 else "\n".join(w)))
-    rows += [rows[9], (160, " ".join(items[6] * 300))]
+    rows += [rows[9], (160, " ".join(items[8] * 300))]
     df = frame(spark, [(d, t, "en") for d, t in rows])
-    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (91, ""), (5, " ".join(items[5]))], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (91, ""), (7, " ".join(items[7]))], "item_id long, text string")
     for words in (D.BLOCK_WORDS, 30):
         got = {(r.doc_id, r.item_id) for r in D.find(df, bench, block_words=words).collect()}
         want = {(d, i) for d, t in rows for i, x in enumerate(items) if contaminated(t, " ".join(x))}
@@ -152,6 +152,13 @@ def test_counts_match_a_plain_forward_pass(spark, monkeypatch):
     df = frame(spark, [(d, t, "en") for d, t in rows])
     assert sorted(map(tuple, K.count(df).collect())) == want
     assert K.count(df.where("false")).collect() == []
+    # long words go on beyond the trie
+    rnd = random.Random(11)
+    trie = K.Trie(pieces, byte)
+    for size in (63, 64, 65, 66, 200, 900):
+        word = "".join(rnd.choice(["the", "ing", "a", "é", "漢", "zq"]) for _ in range(size))[:size]
+        assert trie.add(K.MARK + word) == plain_count(word, pieces, byte)
+    assert len(trie.score) <= 6 * K.MAX_DEPTH + 1
     # a trie that is begun anew at each word counts the same
     trie = K.Trie(pieces, byte)
     counts = K.Counts(trie)

@@ -4,12 +4,12 @@ import re
 
 from relata.llm import mixing, secrets
 
-SCHEMA = "doc_id long, text string, source string, size long, hash string, row long, target double, mix_copy int"
+SCHEMA = "doc_id long, text string, source string, size long, hash string, row long, target double, mix_copy int, mix_copy_ int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(d, t, s, 1, "h", 2, 0.5, 3) for d, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, s, 1, "h", 2, 0.5, 3, 4) for d, t, s in rows], SCHEMA)
 
 
 def plain_targets(sizes):
@@ -47,7 +47,7 @@ def test_mixing(spark):
         rate = r.target / r.source_size if r.source_size else 0
         assert math.floor(rate) <= r.copies <= math.floor(rate) + 1 <= 3
     mixed = mixing.mix(df)
-    assert mixed.columns == [*df.columns, "mix_copy_"]
+    assert mixed.columns == [*df.columns, "mix_copy__"]
     assert mixed.count() == sum(r.copies for r in out)
     assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, mixed.collect()))
 
