@@ -45,6 +45,7 @@ HOT_ROWS = 200_000
 HOT_BYTES = 32 << 20
 CROWD = 4
 BROADCAST_LINES = 1_000_000
+BROADCAST_GONE = 2_000_000
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -425,12 +426,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: s
     ``length``, if there is such a column, follows the text.
     """
     gone = materialize(removals(docs, id_col, text, tau, min_chars, min_fuzzy).groupBy("id").agg(F.collect_set("number").alias("gone")), "gone")
-    frame = packed(docs, F.col(id_col).alias("key"), F.col(text).cast("string").alias("text"))
-    frame = frame.join(gone, F.col("key").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
+    n = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    frame = packed(docs, F.col(id_col).alias("key")).join(F.broadcast(gone) if n <= BROADCAST_GONE else gone, F.col("key").eqNullSafe(F.col("id")), "left")
+    frame = frame.select("row", "gone")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ok, size = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool), [None] * batch.num_rows
+            texts = batch.column("row").field(place).cast(pa.string()).to_pylist()
+            ok, size = np.ones(batch.num_rows, bool), [None] * batch.num_rows
             for i in np.flatnonzero(np.asarray(batch.column("gone").is_valid())):
                 out = set(batch.column("gone")[i].as_py())
                 texts[i] = "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in out)
@@ -439,7 +443,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: s
             new = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(size, pa.int64())], names=["row", "text", "size"])
             yield new.filter(pa.array(ok))
 
-    out = frame.mapInArrow(run, frame.select("row", "text", F.lit(None).cast("long").alias("size")).schema)
+    out = frame.mapInArrow(run, frame.select("row", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("size")).schema)
 
     def column(c: str) -> Column:
         if c == text:

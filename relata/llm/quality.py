@@ -40,6 +40,7 @@ from .common import materialize, packed, table
 
 MAX_FIT = 20_000
 MAX_STRATA = 64
+BROADCAST_LABELS = 1_000_000
 ALPHA = 0.02
 DELTA = 0.05
 MIN_WORDS = 50
@@ -62,6 +63,7 @@ def measure_block(column: pa.Array) -> dict[str, np.ndarray]:
     """MEASURES of each text; a null is an empty text."""
     buf, off = words.raw(column)
     total = lambda mark: np.diff(np.concatenate(([0], np.cumsum(mark)))[off])
+    few = lambda mark: np.diff(np.searchsorted(np.flatnonzero(mark), off))
     space = words._SPACE[buf]
     w = words.split(column)
     start, end, first = words.shingles(w, 3)
@@ -93,13 +95,13 @@ def measure_block(column: pa.Array) -> dict[str, np.ndarray]:
     return {
         "n_words": n,
         "word_chars": total(~space & ((buf & 0xC0) != 0x80)),
-        "n_symbols": total(_SYMBOL[buf]),
+        "n_symbols": few(_SYMBOL[buf]),
         "n_dup_lines": dup,
         "n_repeat_words": np.diff(np.concatenate(([0], np.cumsum(covered)))[w.first]),
         "n_word_lines": lines,
-        "n_upper": total(_UPPER[buf]),
-        "n_marks": total(_MARK[buf]),
-        "n_digits": total(_DIGIT[buf]),
+        "n_upper": few(_UPPER[buf]),
+        "n_marks": few(_MARK[buf]),
+        "n_digits": few(_DIGIT[buf]),
     }
 
 
@@ -254,7 +256,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     measures are joined with the labels, never texts.
     """
     chosen = labels.where(F.col(good).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg((F.min(F.col(good)) > 0).alias("good"))
-    rows = measured_docs if measured_docs is not None else measures(docs, [F.col(id_col).alias("id"), F.col(stratum).cast("string").alias("stratum")], text)
+    rows = measured_docs
+    if rows is None:
+        held = docs.select(F.col(id_col).alias("id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
+        ids = materialize(chosen.select(F.col("label_id").alias("id")), "label-ids")
+        if ids.count() <= BROADCAST_LABELS:  # else all texts are measured where they are, and only measures meet the labels
+            held = held.join(F.broadcast(ids), "id", "left_semi")
+        rows = measures(held, [F.col("id"), F.col("stratum")])
     rows = rows.join(chosen, F.col("id") == F.col("label_id")).groupBy("id", "good").agg(F.min(F.struct("stratum", *MEASURES)).alias("m"))
     hash_ = F.xxhash64("id")
     rows = materialize(rows.select("id", "good", (F.shiftrightunsigned(hash_, 7) % 2 == 1).alias("holdout"), hash_.alias("h"), "m.*"), "labelled")

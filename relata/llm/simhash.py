@@ -372,9 +372,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     edges = materialize(similar_links(points, similarity), "edges")
     mine = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     # one document of each point in question; any text of a point has its fingerprint
-    held = points.join(mine, "node", "left_semi").groupBy("least").agg(F.collect_set("node").alias("nodes"))
+    n = mine.count()
+    held = points.join(F.broadcast(mine) if n <= BROADCAST_IDS else mine, "node", "left_semi").groupBy("least").agg(F.collect_set("node").alias("nodes"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(held, F.col("id").eqNullSafe(F.col("least"))).select(F.struct("least", "nodes").alias("held"), "text")
+    texts = texts.join(F.broadcast(held) if n <= BROADCAST_IDS else held, F.col("id").eqNullSafe(F.col("least"))).select(F.struct("least", "nodes").alias("held"), "text")
     known = fingerprints(texts, "text", k, ("held", "text"), _WORDS).withColumn("node", F.xxhash64(*_WORDS))
     known = known.where(F.array_contains("held.nodes", F.col("node"))).dropDuplicates(["node"])
     sets = materialize(shingle_sets(known, "node", "text", k), "sets")
