@@ -167,3 +167,21 @@ def agreement(df: DataFrame) -> DataFrame:
     mi = n.join(a, "truth").join(b, "cluster").crossJoin(t).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
     ha, hb = a.crossJoin(t).agg(h("na").alias("ha")), b.crossJoin(t).agg(h("nb").alias("hb"), (F.sum("top") / F.max("t")).alias("purity"))
     return mi.crossJoin(ha).crossJoin(hb).select(F.round("purity", 6).alias("purity"), F.round(2 * F.col("mi") / (F.col("ha") + F.col("hb")), 6).alias("nmi"))
+
+
+def corpus_map(df: DataFrame, id_col: str = "vec_id", vec: str = "vec", least: int = 3) -> DataFrame:
+    """(id, x, y, cluster, size): places and clusters of all vectors of the commonest length.
+
+    Fewer than ``least`` vectors make an empty map; clusters without a member don't appear.
+    """
+    n = F.size(vec)
+    common = df.where(n > 0).groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
+    kind = dict(df.dtypes)[id_col]
+    if common is None or common["c"] < least:
+        return df.sparkSession.createDataFrame([], f"{id_col} {kind}, x double, y double, cluster int, size long")
+    rows = materialize(df.where(n == common["n"]).select(id_col, vec), "map")
+    places = project(rows, id_col, vec)
+    member = kmeans(rows, min(suggest_k(common["c"]), common["c"]), id_col, vec)[0]
+    size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    out = places.join(member, id_col).join(F.broadcast(size), "cluster")
+    return out.select(id_col, F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster", "size")

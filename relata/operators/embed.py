@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relata.functions import vectors as V
+
 #: Behaviour by a part of the model's name: prefixes of queries and passages, pooling, whole notes.
 MODELS = {
     "e5": {"query": "query: ", "passage": "passage: ", "pooling": "mean", "whole_note": False},
@@ -55,3 +57,21 @@ def embed(chunks: DataFrame, text: str = "text", kind: str = "passage", model: s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([list(r) for r in rows], pa.list_(pa.float64()))], names=[*columns, "vec"])
 
     return chunks.mapInArrow(run, schema)
+
+
+def pool(tokens: DataFrame, how: str, order: str = "chunk_ix", keys: tuple[str, ...] = ("note_id",)) -> DataFrame:
+    """(keys, vec): the mean of each group's token vectors, or its last one, at unit length."""
+    if how == "mean":
+        return V.mean_by(tokens, list(keys))
+    last = tokens.groupBy(*keys).agg(F.max_by("vec", order).alias("vec"))
+    return last.withColumn("vec", V.unit("vec"))
+
+
+def whole_notes(passages: DataFrame, model: str = "jina") -> DataFrame:
+    """(note_id, granularity, idea, vec): a vector for each note (idea -1) and, if the model takes whole notes, each idea."""
+    how = behaviour(model)
+    note = V.mean_by(passages, ["note_id"]).select("note_id", F.lit("note").alias("granularity"), F.lit(-1).alias("idea"), "vec")
+    if not how["whole_note"]:
+        return note
+    idea = V.mean_by(passages, ["note_id", "idea_id"]).select("note_id", F.lit("idea").alias("granularity"), F.col("idea_id").alias("idea"), "vec")
+    return note.unionByName(idea)

@@ -1,7 +1,10 @@
 """Link-graph signals as joins and aggregates over ``adj(node, nbr)`` and ``deg(node, k)``.
 
-Two-hop expansions go through neighbours of at most ``hub`` links. That rule is part of the
-signals, and it also bounds every expansion by ``hub`` rows an edge, whatever the graph's size.
+Resource allocation, evidence, rooted walks and what is built on them expand only neighbours of at most
+``hub`` links; that rule is part of these signals and bounds them by ``hub`` rows an edge. The other
+signals (common neighbours, Adamic-Adar, Katz, heat kernel, restart walks, SimRank, local path, three
+paths, preferential attachment) have no such rule by definition: a hub of k links makes k * k rows.
+Their ``hub`` argument, None by default, gives a bounded variant for graphs with large hubs.
 Ties are broken by id.
 """
 
@@ -12,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import materialize
+
 HUB = 40
 
 
@@ -57,14 +62,14 @@ def evidence(adj: DataFrame, hub: int | None = HUB) -> DataFrame:
     return paths.groupBy("a", "b").agg(F.sum("w").alias("ra"), F.transform(shared, lambda s: s["x"]).alias("shared"))
 
 
-def common_neighbours(adj: DataFrame) -> DataFrame:
-    return pair_score(two_hop(adj, F.lit(1.0), None), "cn")
+def common_neighbours(adj: DataFrame, hub: int | None = None) -> DataFrame:
+    return pair_score(two_hop(adj, F.lit(1.0), hub), "cn")
 
 
-def adamic_adar(adj: DataFrame, plain: bool = False) -> DataFrame:
+def adamic_adar(adj: DataFrame, plain: bool = False, hub: int | None = None) -> DataFrame:
     """1 / ln(1 + degree), or 1 / ln(degree) for degrees of 2 and more if ``plain``."""
     weight = F.when(F.col("k") >= 2, 1 / F.log(F.col("k"))) if plain else 1 / F.log1p(F.col("k"))
-    return pair_score(two_hop(adj, weight, None), "aa")
+    return pair_score(two_hop(adj, weight, hub), "aa")
 
 
 def both_ways(pairs: DataFrame, *cols: str) -> DataFrame:
@@ -89,15 +94,15 @@ def page_rank_from(adj: DataFrame, hub: int = HUB, steps: int = 3, alpha: float
     A step leaves a node of at most ``hub`` links (so a root above it has no walk) with a share of at
     least ``floor``; the heaviest ``frontier`` targets of each root go on and are added up.
     """
-    deg = degree(adj)
-    out = adj.join(deg.where(F.col("k") <= hub), "node")
+    deg = materialize(degree(adj), "degree")
+    out = materialize(adj.join(deg.where(F.col("k") <= hub), "node"), "steps")
     front = deg.select(F.col("node").alias("src"), F.col("node").alias("at"), F.lit(1.0).alias("mass"))
     total = None
     for _ in range(steps):
         share = F.col("mass") * (1 - alpha) / F.col("k")
         step = front.join(out, F.col("at") == F.col("node")).withColumn("share", share).where(F.col("share") >= floor)
         step = step.groupBy("src", F.col("nbr").alias("at")).agg(F.sum("share").alias("mass"))
-        front = top(step, ["src"], [F.round("mass", 12).desc(), F.col("at")], frontier).drop("rank")
+        front = materialize(top(step, ["src"], [F.round("mass", 12).desc(), F.col("at")], frontier).drop("rank"), "front")
         total = front if total is None else total.union(front)
     mass = total.where("src <> at").groupBy("src", F.col("at").alias("dst")).agg(F.sum("mass").alias("mass"))
     goal = deg.select(F.col("node").alias("dst"), "k")
@@ -106,6 +111,7 @@ def page_rank_from(adj: DataFrame, hub: int = HUB, steps: int = 3, alpha: float
 
 def candidates(adj: DataFrame, limit: int = 10, hub: int = HUB) -> DataFrame:
     """(src, dst, score, rank): nodes without a direct link by walk mass plus resource allocation."""
+    adj = materialize(adj, "graph")
     ra = both_ways(resource_allocation(adj, hub), "ra")
     score = F.col("mass") + F.coalesce("ra", F.lit(0.0))
     walked = unlinked(page_rank_from(adj, hub), adj).join(ra, ["src", "dst"], "left")
@@ -130,18 +136,18 @@ def walks(adj: DataFrame, weights: list[float], share: bool = False, hub: int |
     return union.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def katz(adj: DataFrame, beta: float = 0.05, hops: int = 3) -> DataFrame:
-    return unlinked(walks(adj, [beta**h for h in range(1, hops + 1)]), adj)
+def katz(adj: DataFrame, beta: float = 0.05, hops: int = 3, hub: int | None = None) -> DataFrame:
+    return unlinked(walks(adj, [beta**h for h in range(1, hops + 1)], hub=hub), adj)
 
 
-def heat_kernel(adj: DataFrame, t: float = 2.0, terms: int = 4) -> DataFrame:
-    return unlinked(walks(adj, [math.exp(-t) * t**h / math.factorial(h) for h in range(1, terms + 1)], share=True), adj)
+def heat_kernel(adj: DataFrame, t: float = 2.0, terms: int = 4, hub: int | None = None) -> DataFrame:
+    return unlinked(walks(adj, [math.exp(-t) * t**h / math.factorial(h) for h in range(1, terms + 1)], share=True, hub=hub), adj)
 
 
-def page_rank_restart(adj: DataFrame, alpha: float = 0.15, steps: int = 6, frontier: int = 400) -> DataFrame:
+def page_rank_restart(adj: DataFrame, alpha: float = 0.15, steps: int = 6, frontier: int = 400, hub: int | None = None) -> DataFrame:
     """(src, dst, mass): walks whose restart mass returns to the root at every step."""
     deg = degree(adj)
-    out = adj.join(deg, "node")
+    out = adj.join(deg if hub is None else deg.where(F.col("k") <= hub), "node")
     front = deg.select(F.col("node").alias("src"), F.col("node").alias("at"), F.lit(1.0).alias("mass"))
     root = front.withColumn("mass", F.lit(alpha))
     for _ in range(steps):
@@ -151,30 +157,30 @@ def page_rank_restart(adj: DataFrame, alpha: float = 0.15, steps: int = 6, front
     return front.where("src <> at").select("src", F.col("at").alias("dst"), "mass")
 
 
-def simrank_once(adj: DataFrame, c: float = 0.8) -> DataFrame:
+def simrank_once(adj: DataFrame, c: float = 0.8, hub: int | None = None) -> DataFrame:
     """(a, b, simrank): shared neighbours times c over the product of both degrees."""
     deg = degree(adj)
-    n = common_neighbours(adj)
+    n = common_neighbours(adj, hub)
     n = n.join(deg.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(deg.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
     return n.select("a", "b", (F.col("cn") * c / (F.col("ka") * F.col("kb"))).alias("simrank"))
 
 
-def preferential_attachment(adj: DataFrame) -> DataFrame:
+def preferential_attachment(adj: DataFrame, hub: int | None = None) -> DataFrame:
     deg = degree(adj)
-    n = common_neighbours(adj)
+    n = common_neighbours(adj, hub)
     n = n.join(deg.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(deg.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
     return n.select("a", "b", (F.col("ka") * F.col("kb")).cast("double").alias("pa"))
 
 
-def local_path(adj: DataFrame, epsilon: float = 0.01) -> DataFrame:
+def local_path(adj: DataFrame, epsilon: float = 0.01, hub: int | None = None) -> DataFrame:
     """Walks of two steps plus ``epsilon`` times those of three."""
-    return unlinked(walks(adj, [0.0, 1.0, epsilon]), adj).where("w > 0")
+    return unlinked(walks(adj, [0.0, 1.0, epsilon], hub=hub), adj).where("w > 0")
 
 
-def three_paths(adj: DataFrame) -> DataFrame:
+def three_paths(adj: DataFrame, hub: int | None = None) -> DataFrame:
     """(src, dst, l3): over paths src-u-v-dst, 1 / sqrt(degree u * degree v); src, u, v, dst as walks without an immediate return."""
     deg = degree(adj)
-    mid = adj.join(deg, "node")
+    mid = adj.join(deg if hub is None else deg.where(F.col("k") <= hub), "node")
     one = adj.select(F.col("node").alias("src"), F.col("nbr").alias("u"))
     two = mid.select(F.col("node").alias("u"), F.col("nbr").alias("v"), F.col("k").alias("ku"))
     three = mid.select(F.col("node").alias("v"), F.col("nbr").alias("dst"), F.col("k").alias("kv"))

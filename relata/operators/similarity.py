@@ -18,36 +18,46 @@ from relata.functions import vectors as V
 BLOCK = 4096
 
 
-def _blocked(df: DataFrame, id_col: str, vec: str, n: int, mine: str, other: str, m: int) -> DataFrame:
+def _blocked(df: DataFrame, id_col: str, vec: str, n: int, mine: str, other: str, m: int, more: tuple[str, ...] = ()) -> DataFrame:
     block = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), block.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), block.alias(mine), *more, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, float) for x in column])
 
 
-def grid(queries: DataFrame, items: DataFrame, emit, schema: str, q_id: str = "vec_id", i_id: str = "vec_id", vec: str = "vec", block: int = BLOCK) -> DataFrame:
-    """Run ``emit(query ids, query matrix, item ids, item matrix) -> pandas`` on each pair of blocks."""
+def grid(queries: DataFrame, items: DataFrame, emit, schema: str, q_id: str = "vec_id", i_id: str = "vec_id", vec: str = "vec", block: int = BLOCK, extra: str | None = None) -> DataFrame:
+    """Run ``emit(query ids, query matrix, item ids, item matrix) -> pandas`` on each pair of blocks.
+
+    With ``extra``, a column of the queries, its values are the last argument.
+    """
     nq, ni = (max(1, -(-df.count() // block)) for df in (queries, items))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c.split()[0]: pd.Series(dtype="float64") for c in schema.split(",")})
-        return emit(left["id"].to_numpy(), _matrix(left["vec"]), right["id"].to_numpy(), _matrix(right["vec"]))
+        return emit(left["id"].to_numpy(), _matrix(left["vec"]), right["id"].to_numpy(), _matrix(right["vec"]), *([left[extra].tolist()] if extra else []))
 
-    a = _blocked(queries, q_id, vec, nq, "qb", "ib", ni).groupBy("qb", "ib")
+    a = _blocked(queries, q_id, vec, nq, "qb", "ib", ni, (extra,) if extra else ()).groupBy("qb", "ib")
     b = _blocked(items, i_id, vec, ni, "ib", "qb", nq).groupBy("qb", "ib")
     return a.cogroup(b).applyInPandas(run, schema)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 10, q_id: str = "vec_id", i_id: str = "vec_id", vec: str = "vec", block: int = BLOCK, itself: bool = False) -> DataFrame:
-    """(src, dst, score, rank): the ``k`` items of greatest dot product for each query, not ``itself``."""
+def top_k(queries: DataFrame, items: DataFrame, k: int = 10, q_id: str = "vec_id", i_id: str = "vec_id", vec: str = "vec", block: int = BLOCK, itself: bool = False, without: DataFrame | None = None) -> DataFrame:
+    """(src, dst, score, rank): the ``k`` items of greatest dot product for each query, not ``itself``.
 
-    def emit(qi, q, ii, m):
+    Pairs (src, dst) of ``without`` are left out where the blocks meet, so a query with many of them
+    needs no longer list: each query carries its own.
+    """
+
+    def best(qi, q, ii, m, banned):
         s = np.round(q @ m.T, 12)
         if not itself:
             s[qi[:, None] == ii[None, :]] = -np.inf
+        for row, no in enumerate(banned):
+            if no is not None and len(no):
+                s[row, np.isin(ii, no)] = -np.inf
         n = min(k + 1, s.shape[1])
         pick = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(qi), 1))
         low = np.take_along_axis(s, pick, 1).min(axis=1)
@@ -55,7 +65,13 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, q_id: str = "vec_id
         out = pd.DataFrame({"src": qi[x], "dst": ii[y], "score": s[x, y]}).sort_values(["src", "score", "dst"], ascending=[True, False, True])
         return out.groupby("src").head(k)
 
-    part = grid(queries, items, emit, "src long, dst long, score double", q_id, i_id, vec, block)
+    schema = "src long, dst long, score double"
+    if without is None:
+        part = grid(queries, items, lambda qi, q, ii, m: best(qi, q, ii, m, ()), schema, q_id, i_id, vec, block)
+    else:
+        no = without.groupBy(F.col("src").alias("no_id")).agg(F.collect_list(F.col("dst").cast("long")).alias("no"))
+        queries = queries.join(no, F.col(q_id) == F.col("no_id"), "left")
+        part = grid(queries, items, best, schema, q_id, i_id, vec, block, "no")
     w = Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -247,7 +247,7 @@ def keyphrases(spark, sf):
 
 
 @query("r11_bm25", f"""WITH tk AS (SELECT item_id, unnest({_TOK}) AS t FROM benchmark), dt AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents), tf AS (SELECT doc_id, t, count(*) AS n FROM dt GROUP BY 1, 2),
-len AS (SELECT doc_id, sum(n)::DOUBLE AS l FROM tf GROUP BY 1), av AS (SELECT avg(l) AS a, count(*) AS c FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id, t FROM tk),
+len AS (SELECT doc_id, sum(n)::DOUBLE AS l FROM tf GROUP BY 1), av AS (SELECT avg(l) AS a, count(*) AS c FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), qa AS (SELECT DISTINCT item_id, t FROM tk), q AS (SELECT item_id, t FROM (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY df, t) AS r FROM qa JOIN df USING (t)) WHERE r <= 60),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (c - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 6) AS score FROM q JOIN tf USING (t) JOIN len USING (doc_id) JOIN df USING (t), av GROUP BY 1, 2)
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25(spark, sf):
@@ -257,7 +257,9 @@ def bm25(spark, sf):
     av = length.agg(F.avg("l").alias("a"), F.count(F.lit(1)).alias("c"))
     df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     q = R.table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens("text"))).alias("t"))
-    terms = q.join(df, "t").join(tf, "t").join(length, "doc_id").crossJoin(F.broadcast(av))
+    rarest = Window.partitionBy("item_id").orderBy("df", "t")
+    q = q.join(df, "t").withColumn("r", F.row_number().over(rarest)).where("r <= 60").drop("r")
+    terms = q.join(tf, "t").join(length, "doc_id").crossJoin(F.broadcast(av))
     idf = F.log1p((F.col("c") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = terms.groupBy("item_id", "doc_id").agg(F.round(F.sum(idf * F.col("n") * 2.2 / (F.col("n") + 1.2 * (0.25 + 0.75 * F.col("l") / F.col("a")))), 6).alias("score"))
     w = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")

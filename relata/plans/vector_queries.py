@@ -329,7 +329,7 @@ def mutual_proximity(spark, sf):
     return near.select("src", "dst", F.round(tail("mu", "sd") * tail("mu2", "sd2"), 5).alias("mp"))
 
 
-@query("r10_mutual_rank", f"WITH {RANKED} SELECT x.src, x.dst, -(x.rank + y.rank) AS mutual FROM ranked x JOIN ranked y ON y.src = x.dst AND y.dst = x.src WHERE x.rank <= 50 AND y.rank <= 50")
+@query("r10_mutual_rank", f"WITH {RANKED}, top AS MATERIALIZED (SELECT src, dst, rank FROM ranked WHERE rank <= 50) SELECT x.src, x.dst, -(x.rank + y.rank) AS mutual FROM top x JOIN top y ON y.src = x.dst AND y.dst = x.src")
 def mutual_rank(spark, sf):
     near = content(spark, sf, 50)
     back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("rank").alias("back"))
@@ -342,28 +342,6 @@ def group_cap(spark, sf):
     return U.per_group_cap(near, "score", "label").select("src", "dst", "label", "rank")
 
 
-_RANK = POOL.replace("WITH ", "")
-
-
-@query("r1_rank", f"""WITH {_RANK}, lab AS (SELECT vec_id, label FROM notes), x AS (
-  SELECT sc.*, EXISTS (SELECT 1 FROM adj WHERE node = sc.src AND nbr = sc.dst) AS linked, l1.label = l2.label AS tagged FROM sc JOIN lab l1 ON l1.vec_id = sc.src JOIN lab l2 ON l2.vec_id = sc.dst),
-b AS (SELECT *, content + 0.15::DOUBLE * least(1.0::DOUBLE, CASE WHEN linked THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN tagged THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN ra > 0 THEN 0.5::DOUBLE ELSE 0 END) AS score FROM x),
-z AS (SELECT *, round({_Z.format('content')} + {_Z.format('ra')}, 8) AS fused FROM b WHERE score >= 0.2::DOUBLE WINDOW w AS (PARTITION BY src))
-SELECT src, dst, round(score, 6) AS score, rank, CASE WHEN linked THEN 'linked' WHEN tagged THEN 'shared-tags' WHEN ra > 0 THEN 'co-cited' ELSE 'semantic' END AS reason
-FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY fused DESC, dst) AS rank FROM z) WHERE rank <= 12""")
-def rank(spark, sf):
-    """The ranking funnel: shortlist and nominations, boost, floor, fused order, top 12, with a reason."""
-    label = R.notes(spark, sf).select("vec_id", "label")
-    adj = G.adjacency(R.note_links(spark, sf)).select(F.col("node").alias("src"), F.col("nbr").alias("dst"), F.lit(True).alias("linked"))
-    x = pool(spark, sf).join(adj, ["src", "dst"], "left").fillna(False, ["linked"])
-    x = x.join(label.select(F.col("vec_id").alias("src"), F.col("label").alias("l1")), "src").join(label.select(F.col("vec_id").alias("dst"), F.col("label").alias("l2")), "dst")
-    x = x.withColumn("tagged", F.col("l1") == F.col("l2")).withColumn("cited", F.col("ra") > 0)
-    x = x.withColumn("score", F.col("content") + U.structural_boost({"linked": 1.0, "tagged": 0.6, "cited": 0.5})).where("score >= 0.2")
-    x = U.fuse(x, {"content": 1.0, "ra": 1.0}, 12)
-    why = U.reason(F.col("linked"), F.col("tagged"), F.col("cited"), F.lit(False))
-    return x.select("src", "dst", F.round("score", 6).alias("score"), "rank", why.alias("reason"))
-
-
 _HOLD = f"{SIMS}, {R.NOTE_ADJ}, ed AS (SELECT node AS a, nbr AS b, (node * 31 + nbr) % 5 = 0 AS held FROM adj WHERE node < nbr), tr AS (SELECT a, b FROM ed WHERE NOT held UNION SELECT b, a FROM ed WHERE NOT held), te AS (SELECT a AS src, b AS dst FROM ed WHERE held UNION SELECT b, a FROM ed WHERE held), rk AS (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS rank FROM sims s WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.a = s.src AND tr.b = s.dst))"
 
 
@@ -373,10 +351,8 @@ def held_out(spark, sf, k=50):
     e = E.hold_out(adj.where("node < nbr").select(F.col("node").alias("a"), F.col("nbr").alias("b")))
     both = lambda d: d.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(d.select("b", "a"))
     train = both(e.where("not held"))
-    most = F.broadcast(train.groupBy("src").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("m")))
-    extra = most.first()["m"]
-    ranked = content(spark, sf, k + extra).join(train, ["src", "dst"], "left_anti").drop("rank")
-    return U.ranked(ranked, "score", k), both(e.where("held"))
+    c = V.centered(R.notes(spark, sf))
+    return S.top_k(c, c, k, without=train), both(e.where("held"))
 
 
 @query("q1_hold_out", f"WITH {_HOLD} SELECT a, b, held FROM ed")
@@ -459,12 +435,12 @@ def suggested_links(spark, sf):
 
 
 @query("i3_suggested_tags", f"""WITH {RANKED}, t AS (SELECT src, la, lb AS tag, count(*) AS support FROM ranked WHERE rank <= 10 GROUP BY 1, 2, 3), df AS (SELECT label, count(*) AS df FROM notes GROUP BY 1)
-SELECT src, tag, support FROM t JOIN df ON df.label = tag WHERE tag <> la AND support > 5 AND df <= 0.25::DOUBLE * (SELECT count(*) FROM notes)""")
+SELECT src, tag, support FROM t JOIN df ON df.label = tag WHERE tag <> la AND support >= 3 AND df <= 0.25::DOUBLE * (SELECT count(*) FROM notes)""")
 def suggested_tags(spark, sf):
-    """Labels that over half of the ten nearest carry, the note doesn't, and at most a quarter of all do."""
+    """Labels that three or more of the ten nearest carry, the note doesn't, and at most a quarter of all do."""
     label = R.notes(spark, sf).select("vec_id", "label")
     near = content(spark, sf).join(label.select(F.col("vec_id").alias("src"), F.col("label").alias("mine")), "src").join(label.select(F.col("vec_id").alias("dst"), F.col("label").alias("tag")), "dst")
-    votes = near.groupBy("src", "mine", "tag").agg(F.count(F.lit(1)).alias("support")).where("support > 5 and tag <> mine")
+    votes = near.groupBy("src", "mine", "tag").agg(F.count(F.lit(1)).alias("support")).where("support >= 3 and tag <> mine")
     df = label.groupBy(F.col("label").alias("tag")).agg(F.count(F.lit(1)).alias("df"))
     n = label.agg(F.count(F.lit(1)).alias("n"))
     return votes.join(df, "tag").crossJoin(F.broadcast(n)).where(F.col("df") <= 0.25 * F.col("n")).select("src", "tag", "support")
