@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# fixed values: stop words of the language probe
+#: Stop words of the language probe, of our own choice.
 ENGLISH = "the and of to in is that for with as was on are this be it not have from by".split()
 GERMAN = "der die und das ist nicht ein eine mit auf für den von zu im dem sich als auch es".split()
 SUFFIXES_LONG, SUFFIXES_SHORT = ("en", "er", "es", "em"), ("e", "n", "s")
@@ -64,21 +64,25 @@ def stem(x) -> Column:
     return for_(SUFFIXES_LONG, 2, for_(SUFFIXES_SHORT, 1, w))
 
 
+#: Patterns of Markdown and what stands for them in plain text, in this order.
+MARKDOWN = (
+    (r"(?s)```.*?(```|$)", " "),
+    (r"`[^`\n]*`", " "),
+    (r"!\[\[[^\]\n]*\]\]", " "),
+    (r"!\[[^\]\n]*\]\([^)\n]*\)", " "),
+    (r"\[\[[^\]|\n]*\|([^\]\n]*)\]\]", "$1"),
+    (r"\[\[([^\]\n]*)\]\]", "$1"),
+    (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
+    (r"(?m)^[ \t]*(#{1,6}|>|[-*+]|[0-9]+[.])[ \t]+", ""),
+    (r"<[^>\n]*>", " "),
+    (r"[*_~]{1,3}", ""),
+)
+
+
 def strip_markdown(x) -> Column:
     """Plain text: no fences, inline code or embeds, links as their display text, no block marks, emphasis or tags."""
     out = _col(x)
-    for pattern, by in (
-        (r"(?s)```.*?(```|$)", " "),
-        (r"`[^`\n]*`", " "),
-        (r"!\[\[[^\]\n]*\]\]", " "),
-        (r"!\[[^\]\n]*\]\([^)\n]*\)", " "),
-        (r"\[\[[^\]|\n]*\|([^\]\n]*)\]\]", "$1"),
-        (r"\[\[([^\]\n]*)\]\]", "$1"),
-        (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
-        (r"(?m)^[ \t]*(#{1,6}|>|[-*+]|[0-9]+[.])[ \t]+", ""),
-        (r"<[^>\n]*>", " "),
-        (r"[*_~]{1,3}", ""),
-    ):
+    for pattern, by in MARKDOWN:
         out = F.regexp_replace(out, pattern, by)
     return squeeze(out)
 

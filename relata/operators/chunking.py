@@ -16,7 +16,22 @@ from pyspark.sql import functions as F
 TARGET_WORDS, TAIL_WORDS, BUDGET = 80, 10, 480
 IDEA_LEAST, IDEA_MOST = 200, 500
 _HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
-_FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
+
+
+def fence(line: str) -> str:
+    """The marks that open a code fence: three or more alike after at most three spaces; no back tick may follow back ticks."""
+    bare = line.lstrip(" ")
+    if len(line) - len(bare) > 3 or bare[:1] not in ("`", "~"):
+        return ""
+    marks = bare[: len(bare) - len(bare.lstrip(bare[0]))]
+    rest = bare[len(marks) :]
+    return "" if len(marks) < 3 or (bare[0] == "`" and "`" in rest) else marks
+
+
+def closes(line: str, marks: str) -> bool:
+    """Whether a line closes the fence that ``marks`` opened: as many of the same, and nothing else."""
+    here = fence(line)
+    return here[:1] == marks[0] and len(here) >= len(marks) and line.strip() == here
 
 
 def sections(text: str) -> list[tuple[list[str], str]]:
@@ -27,10 +42,12 @@ def sections(text: str) -> list[tuple[list[str], str]]:
         lines = lines[end + 1 :] if end else lines
     out: list[tuple[list[str], list[str]]] = [([], [])]
     trail: list[tuple[int, str]] = []
-    fenced = False
+    fenced = ""
     for line in lines:
-        if _FENCE.match(line):
-            fenced = not fenced
+        if not fenced:
+            fenced = fence(line)
+        elif closes(line, fenced):
+            fenced = ""
         found = None if fenced else _HEADING.match(line)
         if found:
             level = len(found[1])

@@ -64,6 +64,8 @@ def kmeans(df: DataFrame, k: int, id_col: str = "vec_id", vec: str = "vec", roun
     index; it stops when no sum changes.
     """
     df = materialize(df.select(id_col, vec), "vectors")
+    if df.isEmpty():
+        return df.select(id_col, F.lit(0).alias("cluster")), np.zeros((0, 0)), []
     centers, costs, last = seeds(df, k, id_col, vec), [], None
     for _ in range(rounds):
         total, size, cost = _sums(df, vec, centers)

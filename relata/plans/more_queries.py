@@ -11,7 +11,7 @@ from relata.operators import insights
 from relata.operators import similarity as S
 
 from . import relations as R
-from . import text_queries, vector_queries
+from . import funnel_queries, text_queries, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +68,9 @@ def threshold_drift(spark, sf):
     return n.select(F.explode(F.array(*(F.struct(F.lit(z).cast("long").alias("size"), F.col(f"n{z}").alias("pairs")) for z in sizes))).alias("r")).select("r.*")
 
 
-@query("r2_idea_blend")
+@query("r2_idea_blend", f"""WITH {R.CHUNKS}, {funnel_queries._mean('means', 'chunks', 'note_id')}, ideas_ AS (SELECT note_id, chunk_ix // 2 AS idea, vec FROM chunks), {funnel_queries._mean('ideas', 'ideas_', 'note_id, idea')},
+ms AS (SELECT a.note_id AS src, b.note_id AS dst, list_inner_product(a.vec, b.vec) AS s FROM means a JOIN means b ON a.note_id <> b.note_id), pool AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS r FROM ms) WHERE r <= 15),
+{funnel_queries._bimax('chunks', 'chunk_ix')}, {funnel_queries._bimax('ideas', 'idea')} SELECT src, dst, round(0.7::DOUBLE * a.s + 0.3::DOUBLE * b.s, 6) AS score FROM chunks_b a JOIN ideas_b b USING (src, dst)""")
 def idea_blend(spark, sf, influence: float = 0.3):
     """Passage similarity blended with that of idea means, two passages an idea."""
     chunks, pairs = vector_queries.shortlist(spark, sf)
@@ -86,7 +88,11 @@ def new_concepts(spark, sf):
     return insights.new_concepts(hits.join(label.withColumnRenamed("doc_id", "note_id"), "note_id"), owned, least=0.0)
 
 
-@query("i14_concept_search")
+@query("i14_concept_search", f"""WITH {vector_queries.RANKED}, {R.NOTE_ADJ}, best AS (SELECT src, dst, rank FROM ranked WHERE rank <= 10 AND src % 100 = 0), fr AS (SELECT src, vec FROM best JOIN c ON vec_id = dst WHERE rank <= 5), {funnel_queries._mean('fed', 'fr', 'src')},
+mv AS (SELECT src, list_transform(list_zip(c.vec, fed.vec), lambda z: z[1] + 0.7::DOUBLE * z[2]) AS u FROM fed JOIN c ON vec_id = src), moved AS (SELECT src, {funnel_queries._UNIT} AS q FROM mv), ms AS (SELECT src, vec_id AS dst, list_inner_product(q, vec) AS s FROM moved JOIN c ON vec_id <> src),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS r FROM ms) WHERE r <= 60), votes AS (SELECT src, nbr AS dst, count(*) AS n FROM best JOIN adj ON node = dst GROUP BY 1, 2),
+f AS (SELECT src, dst, s + coalesce(0.5::DOUBLE * n / sqrt(k), 0) AS s FROM near LEFT JOIN votes USING (src, dst) LEFT JOIN deg ON node = dst)
+SELECT src, dst, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 9) DESC, dst) AS rank FROM f) WHERE rank <= 10""")
 def concept_search(spark, sf, beta: float = 0.7, link_bonus: float = 0.5):
     """For vectors whose id is divisible by 100: similarity after feedback, plus a bonus for links to the ten first."""
     c = V.centered(R.notes(spark, sf))

@@ -106,7 +106,16 @@ def without_top(spark, sf):
     return out.select("vec_id", F.round(F.element_at("vec", 1), 6).alias("first"))
 
 
-@query("g22_components")
+def _least_label(edges: str, rounds: int = 24) -> str:
+    """CTEs lab0 ... of the least node within so many steps over ``edges`` (node, nbr); the last is ``labels``."""
+    out = f"lab0 AS (SELECT DISTINCT node, node AS label FROM {edges})"
+    for i in range(1, rounds + 1):
+        name = "labels" if i == rounds else f"lab{i}"
+        out += f", {name} AS MATERIALIZED (SELECT l.node, least(any_value(l.label), min(m.label)) AS label FROM lab{i - 1} l JOIN {edges} e ON e.node = l.node JOIN lab{i - 1} m ON m.node = e.nbr GROUP BY 1)"
+    return out
+
+
+@query("g22_components", f"WITH {R.ADJ}, {_least_label('adj')} SELECT node, label AS component, count(*) OVER (PARTITION BY label) AS size FROM labels")
 def connected(spark, sf):
     a = adjacency(R.links(spark, sf))
     label = components(a.select(F.col("node").alias("a"), F.col("nbr").alias("b")))
@@ -114,7 +123,10 @@ def connected(spark, sf):
     return label.join(least, "label").select("node", "component", "size")
 
 
-@query("i6_template_groups")
+@query("i6_template_groups", f"""WITH {R.LINES}, h AS (SELECT DISTINCT doc_id, lower(trim(line)) AS h FROM lines WHERE length(line) >= 6 AND line IN (SELECT line FROM lines WHERE length(line) >= 6 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3)),
+pr AS (SELECT x.doc_id, x.h AS a, y.h AS b FROM h x JOIN h y USING (doc_id) WHERE x.h < y.h), fi AS (SELECT a, b, min(doc_id) AS first FROM pr GROUP BY 1, 2 HAVING count(*) > 1), ed AS (SELECT first AS p, doc_id AS q FROM pr JOIN fi USING (a, b) WHERE first <> doc_id),
+g AS (SELECT p AS node, q AS nbr FROM ed UNION SELECT q, p FROM ed), {_least_label('g')}, z AS (SELECT node, label, count(*) OVER (PARTITION BY label) AS size FROM labels)
+SELECT node AS note_id, label AS grp, size FROM z WHERE size BETWEEN 3 AND greatest(30, floor(0.05::DOUBLE * (SELECT count(DISTINCT doc_id) FROM h) + 0.5::DOUBLE))""")
 def template_groups(spark, sf):
     """Documents that share two lines of six characters, grouped."""
     h = R.doclines(spark, sf).where(F.length("line") >= 6).select(F.col("doc_id").alias("note_id"), F.col("line").alias("heading"))
@@ -122,13 +134,26 @@ def template_groups(spark, sf):
     return insights.template_groups(h.join(common, "heading"))
 
 
-@query("i20_receipts")
+_TOKEN = "lower(regexp_extract(text, '([A-Za-z]{6,})', 1))"
+_SAID = r"list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s))"
+
+
+@query("i20_receipts", f"""WITH t AS (SELECT doc_id, text, {_TOKEN} AS token FROM documents), p AS (SELECT *, strpos(lower(text), token) AS pos FROM t), r AS (SELECT *, greatest(1, pos - 90) AS lo, least(length(text), pos + length(token) - 1 + 90) AS hi FROM p)
+SELECT doc_id, CASE WHEN pos > 0 THEN CASE WHEN lo > 1 THEN '…' ELSE '' END || substring(text, lo, hi - lo + 1) || CASE WHEN hi < length(text) THEN '…' ELSE '' END END AS receipt, left(list_filter({_SAID}, lambda s: length(s) >= 25 AND contains(lower(s), token))[1], 260) AS sentence FROM r""")
 def receipts(spark, sf):
+    """The text around the first place of a word, and the first sentence that names it."""
     d = R.table(spark, sf, "documents")
     token = F.lower(F.regexp_extract("text", "([A-Za-z]{6,})", 1))
     return d.select("doc_id", insights.receipt(F.col("text"), token).alias("receipt"), insights.bridge_sentence(F.col("text"), token).alias("sentence"))
 
 
+@query("i19_named_detail", f"""WITH t AS (SELECT doc_id, text, {_TOKEN} AS token FROM documents) SELECT doc_id, regexp_matches(token, '[0-9]') OR regexp_matches(text, '[a-z,;] ' || upper(left(token, 1)) || substring(token, 2)) AS named FROM t""")
+def named_detail(spark, sf):
+    d = R.table(spark, sf, "documents")
+    token = F.lower(F.regexp_extract("text", "([A-Za-z]{6,})", 1))
+    return d.select("doc_id", insights.named_detail(token, F.col("text")).alias("named"))
+
+
 @query("r15_completions")
 def completions(spark, sf):
     """Completions of each benchmark item's first word among the first words of documents."""

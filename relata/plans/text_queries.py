@@ -65,7 +65,15 @@ def strip_html(spark, sf):
     return R.table(spark, sf, "pages").select("page_id", F.md5(T.strip_html("html").cast("binary")).alias("stripped"))
 
 
-@query("t5_strip_markdown")
+def _plain(text: str) -> str:
+    """SQL of the plain text of Markdown."""
+    out = text
+    for pattern, by in T.MARKDOWN:
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return _SQ.format(out)
+
+
+@query("t5_strip_markdown", f"SELECT doc_id, length({_plain('text')})::INT AS n_plain FROM documents")
 def strip_markdown(spark, sf):
     return docs(spark, sf).select("doc_id", F.length(T.strip_markdown("text")).alias("n_plain"))
 
@@ -88,7 +96,7 @@ def tokenise(spark, sf):
     return R.table(spark, sf, "benchmark").select("item_id", F.array_join(T.tokens("text"), " ").alias("tokens"))
 
 
-@query("t9_snippet")
+@query("t9_snippet", f"SELECT doc_id, left({_plain('text')}, 160) AS snippet FROM documents")
 def snippet(spark, sf):
     return docs(spark, sf).select("doc_id", T.snippet("text").alias("snippet"))
 
@@ -119,7 +127,8 @@ def language_probe(spark, sf):
     return docs(spark, sf).select("doc_id", T.language("text").alias("probe"))
 
 
-@query("t14_paragraphs")
+@query("t14_paragraphs", r"""WITH k AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '(?s)```.*?(```|$)', '', 'g'), '\n[ \t]*\n'), lambda p: NOT regexp_matches(p, '^\s*[#|]') AND len(regexp_extract_all(p, '[^ \t\n\r\f\x0b]+')) >= 25) AS ps FROM documents)
+SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT AS ix, length(left(trim(unnest(ps)), 3500))::INT AS n FROM k""")
 def paragraphs(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(T.paragraphs("text")).alias("ix", "paragraph")).select("doc_id", "ix", F.length("paragraph").alias("n"))
 

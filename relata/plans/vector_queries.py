@@ -76,12 +76,12 @@ def center(spark, sf):
 @query("v6_center_chunks", f"""WITH {R.CHUNKS}, d AS (SELECT note_id, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM chunks), m AS (SELECT note_id, d, avg(v) AS m FROM d GROUP BY 1, 2),
 n AS (SELECT note_id, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), cm AS (SELECT d, avg(m / n) AS m FROM m JOIN n USING (note_id) GROUP BY d), cent AS (SELECT list(m / (SELECT sqrt(sum(m * m)) FROM cm) ORDER BY d) AS c FROM cm),
 p AS (SELECT note_id, chunk_ix, list_transform(list_zip(vec, c), lambda z: z[1] - list_inner_product(vec, c) * z[2]) AS u FROM chunks, cent)
-SELECT note_id, chunk_ix, round(({_UNIT})[1], 6) AS first, round(({_UNIT})[64], 6) AS last FROM p""")
+SELECT note_id, chunk_ix, (generate_subscripts({_UNIT}, 1) - 1)::INT AS dim, round(unnest({_UNIT}), 6) AS value FROM p""")
 def center_chunks(spark, sf):
     chunks = R.chunks(spark, sf)
     c = V.centroid(V.mean_by(chunks, ["note_id"]))
     out = chunks.crossJoin(F.broadcast(c)).withColumn("vec", V.center("vec", "centroid"))
-    return out.select("note_id", "chunk_ix", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", 64), 6).alias("last"))
+    return r6(V.dims(out, ["note_id", "chunk_ix"]), "value")
 
 
 _Q = f"""{R.NOTES}, sc AS (SELECT vec_id, vec, CASE WHEN list_max(list_transform(vec, lambda x: abs(x))) > 0 THEN list_max(list_transform(vec, lambda x: abs(x))) / 127.0::DOUBLE ELSE 1 END AS scale FROM notes),
@@ -100,10 +100,10 @@ def dequantize(spark, sf):
     return n.select("vec_id", F.round(V.dot("vec", V.dequantize("q", "scale")), 6).alias("fidelity"))
 
 
-@query("v9_subtract_mean", f"WITH {CENTROID}, s AS (SELECT vec_id, list_transform(list_zip(vec, raw), lambda z: z[1] - z[2]) AS u FROM notes, cent) SELECT vec_id, round(({_UNIT})[1], 6) AS first, round(({_UNIT})[64], 6) AS last FROM s")
+@query("v9_subtract_mean", f"WITH {CENTROID}, s AS (SELECT vec_id, list_transform(list_zip(vec, raw), lambda z: z[1] - z[2]) AS u FROM notes, cent) SELECT vec_id, (generate_subscripts({_UNIT}, 1) - 1)::INT AS dim, round(unnest({_UNIT}), 6) AS value FROM s")
 def subtract_mean(spark, sf):
     out = V.centered(R.notes(spark, sf), project=False)
-    return out.select("vec_id", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", 64), 6).alias("last"))
+    return r6(V.dims(out, ["vec_id"]), "value")
 
 
 @query("v10_z_score", """SELECT source AS src, doc_id AS dst, CASE WHEN stddev_pop(n_chars) OVER w < 1e-9 THEN 0 ELSE round((n_chars - avg(n_chars) OVER w) / stddev_pop(n_chars) OVER w, 6) END AS z
@@ -116,14 +116,14 @@ def z_score(spark, sf):
 @query("v13_domain_residual", f"""WITH {CENTERED}, cd AS (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM c), t AS (SELECT label, d, sum(v) AS s, count(*) AS n FROM cd GROUP BY 1, 2),
 dom AS (SELECT label, list(s ORDER BY d) AS s, any_value(n) AS n FROM t GROUP BY 1),
 r AS (SELECT vec_id, list_transform(list_zip(vec, s), lambda z: z[1] - (z[2] - z[1]) / (n - 1)) AS u FROM c JOIN dom USING (label) WHERE n >= 8)
-SELECT vec_id, round(({_UNIT})[1], 6) AS first, round(({_UNIT})[64], 6) AS last FROM r""")
+SELECT vec_id, (generate_subscripts({_UNIT}, 1) - 1)::INT AS dim, round(unnest({_UNIT}), 6) AS value FROM r""")
 def domain_residual(spark, sf):
     c = V.centered(R.notes(spark, sf))
     t = V.dims(c, ["label"]).groupBy("label", "dim").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     t = t.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda x: x["s"]).alias("s"), F.first("n").alias("n")).where("n >= 8")
     out = c.join(t, "label")
     out = out.withColumn("vec", V.unit(F.zip_with("vec", "s", lambda x, s: x - (s - x) / (F.col("n") - 1))))
-    return out.select("vec_id", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", 64), 6).alias("last"))
+    return r6(V.dims(out, ["vec_id"]), "value")
 
 
 _ROC = RANKED + f""", fbd AS (SELECT src, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM ranked JOIN c ON vec_id = dst WHERE rank <= 5),
@@ -152,12 +152,12 @@ def generality(spark, sf):
 
 @query("v16_hop_mean", f"""WITH {CENTERED}, {R.NOTE_ADJ}, h AS (SELECT node, unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM adj JOIN c ON vec_id = nbr),
 hs AS (SELECT node, d, sum(v) AS s FROM h GROUP BY 1, 2), hl AS (SELECT node, list(s ORDER BY d) AS u FROM hs GROUP BY 1)
-SELECT node AS vec_id, round(({_UNIT})[1], 6) AS first, round(({_UNIT})[64], 6) AS last FROM hl""")
+SELECT node AS vec_id, (generate_subscripts({_UNIT}, 1) - 1)::INT AS dim, round(unnest({_UNIT}), 6) AS value FROM hl""")
 def hop_mean(spark, sf):
     c = V.centered(R.notes(spark, sf))
     adj = G.adjacency(R.note_links(spark, sf))
     m = V.mean_by(adj.join(c.select(F.col("vec_id").alias("nbr"), "vec"), "nbr"), ["node"])
-    return m.select(F.col("node").alias("vec_id"), F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", 64), 6).alias("last"))
+    return r6(V.dims(m.withColumnRenamed("node", "vec_id"), ["vec_id"]), "value")
 
 
 @query("j2_similar_pairs", f"WITH {SIMS} SELECT src AS a, dst AS b, round(s, 6) AS score FROM sims WHERE src < dst AND s >= 0.35::DOUBLE")

@@ -27,18 +27,20 @@ def write_labels(labels: DataFrame, folder: str) -> None:
 
 
 def read(spark: SparkSession, folder: str, model: str) -> tuple[DataFrame, DataFrame] | None:
-    """(means, dequantised chunks) or None for another version or model; rows of the wrong length are dropped."""
+    """(means, dequantised chunks) or None for another version or model; rows of the wrong length are dropped,
+    and an idea below zero is none."""
     head = spark.read.parquet(f"{folder}/manifest").first()
     if head is None or (head["version"], head["model"]) != (VERSION, model):
         return None
     means = spark.read.parquet(f"{folder}/means").where(F.size("vec") == head["dims"])
     chunks = spark.read.parquet(f"{folder}/chunks").where((F.size("q") == head["dims"]) & F.col("scale").isNotNull())
-    return means, chunks.select("note_id", "chunk_ix", "idea_id", V.dequantize("q", "scale").alias("vec"))
+    return means, chunks.select("note_id", "chunk_ix", F.when(F.col("idea_id") >= 0, F.col("idea_id")).alias("idea_id"), V.dequantize("q", "scale").alias("vec"))
 
 
 def to_base64(q) -> "F.Column":
     """Text form of an int8 row."""
-    return F.base64(F.unhex(F.array_join(F.transform(q, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), "")))
+    raw = F.unhex(F.array_join(F.transform(q, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), ""))
+    return F.regexp_replace(F.base64(raw), r"\s", "")  # one line, however long
 
 
 def from_base64(text) -> "F.Column":
