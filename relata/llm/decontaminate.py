@@ -144,19 +144,19 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", window: int = WINDOW, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns; null and empty texts stay."""
     spark = docs.sparkSession
-    out = packed(docs, F.col(text).cast("string").alias("text"))
-    schema = out.schema
+    out = packed(docs)
+    schema, place = out.schema, docs.columns.index(text)
     for index in indexes(benchmark, item_col, "text", block_words):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in words.blocks(batch, "text"):
+                for b in words.blocks(words.with_text(batch, place), "text"):
                     w = words.split(b.column("text"), lower=True)
                     ok = np.ones(b.num_rows, bool)
                     for got in sent.value.overlaps(words.word_hashes(w), w.first, window, similarity):
                         ok[got[0]] = False
-                    yield b.filter(pa.array(ok))
+                    yield b.select(["row"]).filter(pa.array(ok))
 
         out = out.mapInArrow(run, schema)
     return out.select("row.*")

@@ -309,11 +309,12 @@ def measured(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text: str =
 
 def keep_good(docs: DataFrame, rules: Rules, text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    frame = packed(docs, F.col(stratum).cast("string").alias("stratum"), F.col(text).cast("string").alias("text"))
+    frame = packed(docs, F.col(stratum).cast("string").alias("stratum"))
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.blocks(batch, "text"):
+            for b in words.blocks(words.with_text(batch, place), "text"):
                 ok = verdict(measure_block(b.column("text")), b.column("stratum").to_pylist(), rules)
                 yield b.select(["row"]).filter(pa.array(ok))
 

@@ -377,7 +377,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     texts = texts.join(F.broadcast(held) if n <= BROADCAST_IDS else held, F.col("id").eqNullSafe(F.col("least"))).select(F.struct("least", "nodes").alias("held"), "text")
     known = fingerprints(texts, "text", k, ("held", "text"), _WORDS).withColumn("node", F.xxhash64(*_WORDS))
-    known = known.where(F.array_contains("held.nodes", F.col("node"))).dropDuplicates(["node"])
+    known = materialize(known.where(F.array_contains("held.nodes", F.col("node"))).dropDuplicates(["node"]).select("node", "text"), "known")
     sets = materialize(shingle_sets(known, "node", "text", k), "sets")
     both = edges.join(sets.select(F.col("keep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("keep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))

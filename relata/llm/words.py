@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,6 +32,12 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         start = end
 
 
+def with_text(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+    """A batch whose first column is a struct ``row``, with its field at ``place`` as ``text`` (nothing is copied)."""
+    text = batch.column(0).field(place).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
+
+
 def by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.Array], int | None]]:
     """Columns of whole keys (the first column, sorted), or the value of a key of more than ``most`` rows."""
     rest, hot = None, None
