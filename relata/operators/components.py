@@ -44,15 +44,21 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/relata-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet below the shared folder and read it again.
 
     The files survive the loss of any executor. They go when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/relata-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from relata.functions import text as T
 from relata.functions import vectors as V
 from relata.operators import evaluation, mentions
-from relata.operators.components import shared_dir
+from relata.operators.components import folder
 from relata.sources import index, markdown
 from relata.streaming import feed
 
@@ -68,10 +68,10 @@ qz AS (SELECT note_id, chunk_ix, vec, list_transform(vec, lambda x: greatest(-12
 
 def stored(spark, sf, name: str):
     """The index of the fixture's passages below the shared folder, written and read again."""
-    folder = f"{shared_dir(spark).rstrip('/')}/relata-index-{name}"
+    where = folder(spark, f"index-{name}")
     rows = R.chunks(spark, sf).withColumn("idea_id", F.floor(F.col("chunk_ix") / 2).cast("int")).withColumn("mtime", F.lit(1))
-    index.write(rows, folder, "stand-in", 64)
-    return folder, rows, index.read(spark, folder, "stand-in")
+    index.write(rows, where, "stand-in", 64)
+    return where, rows, index.read(spark, where, "stand-in")
 
 
 @query("io7_index_passages", f"WITH {_Q} SELECT note_id, chunk_ix, round(list_inner_product(vec, list_transform(u, lambda x: x / sqrt(list_inner_product(u, u)))), 6) AS fidelity FROM qz")
@@ -91,10 +91,10 @@ def index_means(spark, sf):
 @query("io6_index_labels", "SELECT vec_id // 4 AS note_id, 'l' || min(label) AS label FROM embeddings GROUP BY 1")
 def index_labels(spark, sf):
     """Labels rewritten without a vector being touched."""
-    folder, _, _ = stored(spark, sf, "labels")
+    where, _, _ = stored(spark, sf, "labels")
     label = R.notes(spark, sf).groupBy(F.floor(F.col("vec_id") / 4).alias("note_id")).agg(F.concat(F.lit("l"), F.min("label").cast("string")).alias("label"))
-    index.write_labels(label, folder)
-    return spark.read.parquet(f"{folder}/labels")
+    index.write_labels(label, where)
+    return spark.read.parquet(f"{where}/labels")
 
 
 @query("io8_base64", "SELECT vec_id, 88 AS n, true AS same FROM embeddings")
