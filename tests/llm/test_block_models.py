@@ -103,6 +103,34 @@ def test_code_lengths_match_the_definition():
             assert math.isclose(bits[i, j], plain_bits(train[lang], t), rel_tol=1e-5, abs_tol=1e-4), (t, lang)
 
 
+def test_tables_of_many_languages():
+    """Code lengths don't depend on how languages share tables, whose size grows with their number alone."""
+    rnd = random.Random(3)
+    train = {}
+    for k in range(100):
+        word = lambda: "".join(chr(0x4E00 + 60 * k + rnd.randrange(40)) for _ in range(rnd.randint(2, 8)))
+        vocab = [word() for _ in range(200)]
+        train["l%03d" % k] = [" ".join(rnd.choice(vocab) for _ in range(60)) for _ in range(10)]
+    few = {k: train[k] for k in list(train)[:6]}
+    texts = [v[0] for v in few.values()] + [None, "", "abc", "l \n"]
+    whole, split = L.Model(few, cells=1 << 30), L.Model(few, cells=1)
+    assert len(whole.tables) == 1 and len(split.tables) == 6
+    assert abs(whole.bits(texts) - split.bits(texts)).max() < 1e-3
+    size = lambda m: sum(t.cost.nbytes + t.state.nbytes for _, _, t in m.tables)
+    half = L.Model({k: v for k, v in train.items() if k < "l050"}, cells=1 << 18)
+    every = L.Model(train, cells=1 << 18)
+    assert size(every) < 2.5 * size(half) < 200e6
+    assert every.predict([v[1] for v in train.values()])[0] == list(train)
+
+
+def test_a_language_of_long_texts_only(spark):
+    rows = [(i, "the house and the end of it " * 3, "en") for i in range(40)]
+    rows += [(40 + i, "der hund und die katze von hier " * 2000, "de") for i in range(40)]
+    df = frame(spark, rows)
+    model = L.train(df)
+    assert model.languages == ["de", "en"] and model.predict(["die katze", "the end"])[0] == ["de", "en"]
+
+
 def test_language_operator(spark):
     rnd = random.Random(4)
     words = {"en": "the of and house with from".split(), "de": "der und das haus mit von über".split()}
