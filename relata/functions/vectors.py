@@ -81,3 +81,9 @@ def centered(df: DataFrame, vec: str = "vec", project: bool = True) -> DataFrame
     c = centroid(df, vec, project)
     new = center(vec, "centroid") if project else subtract(vec, "centroid")
     return df.crossJoin(F.broadcast(c)).withColumn(vec, new).drop("centroid")
+
+
+def attributed(v, around, weight: float = 1.0) -> Column:
+    """``v`` followed by ``weight`` times the mean ``around`` it, normalised; ``v`` alone where there is none."""
+    v, around = _col(v), _col(around)
+    return F.when(around.isNull(), v).otherwise(unit(F.concat(v, F.transform(around, lambda x: x * weight))))

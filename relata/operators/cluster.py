@@ -187,3 +187,30 @@ def corpus_map(df: DataFrame, id_col: str = "vec_id", vec: str = "vec", least: i
     size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     out = places.join(member, id_col).join(F.broadcast(size), "cluster")
     return out.select(id_col, F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster", "size")
+
+
+def _title_words(titles: DataFrame, pattern: str, least: int) -> DataFrame:
+    words = titles.select("id", "cluster", F.explode(F.array_distinct(F.split(F.lower("title"), pattern))).alias("word"))
+    return words.where(F.length("word") >= least)
+
+
+def _joined(scored: DataFrame, words: int) -> DataFrame:
+    best = scored.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "word"))).alias("w"))
+    return best.select("cluster", F.array_join(F.transform(F.slice("w", 1, words), lambda x: x["word"]), " · ").alias("label"))
+
+
+def count_labels(titles: DataFrame, words: int = 3) -> DataFrame:
+    """(cluster, label): the words of four characters or more that most titles (id, cluster, title) have; ties by word."""
+    counts = _title_words(titles, "[^a-z0-9]+", 4).groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("score"))
+    return _joined(counts, words)
+
+
+def share_labels(titles: DataFrame, words: int = 2) -> DataFrame:
+    """(cluster, label): words over three characters by share of the cluster's titles x ln(titles / titles with the word)."""
+    w = _title_words(titles, r"[^\p{L}\p{N}]+", 4).where("word <> 'eine'")
+    mine = w.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"))
+    every = mine.groupBy("word").agg(F.sum("n").alias("df"))
+    size = titles.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    c = F.broadcast(titles.agg(F.count(F.lit(1)).alias("c")))
+    scored = mine.join(every, "word").join(size, "cluster").crossJoin(c)
+    return _joined(scored.select("cluster", "word", F.round(F.col("n") / F.col("m") * F.log(F.col("c") / F.col("df")), 9).alias("score")), words)

@@ -44,11 +44,12 @@ def grid(queries: DataFrame, items: DataFrame, emit, schema: str, q_id: str = "v
     return a.cogroup(b).applyInPandas(run, schema)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 10, q_id: str = "vec_id", i_id: str = "vec_id", vec: str = "vec", block: int = BLOCK, itself: bool = False, without: DataFrame | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int = 10, q_id: str = "vec_id", i_id: str = "vec_id", vec: str = "vec", block: int = BLOCK, itself: bool = False, without: DataFrame | None = None, allow=None) -> DataFrame:
     """(src, dst, score, rank): the ``k`` items of greatest dot product for each query, not ``itself``.
 
     Pairs (src, dst) of ``without`` are left out where the blocks meet, so a query with many of them
-    needs no longer list: each query carries its own.
+    needs no longer list: each query carries its own. ``allow(query ids, item ids)`` is a matrix of the
+    pairs that may count.
     """
 
     def best(qi, q, ii, m, banned):
@@ -58,6 +59,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, q_id: str = "vec_id
         for row, no in enumerate(banned):
             if no is not None and len(no):
                 s[row, np.isin(ii, no)] = -np.inf
+        if allow is not None:
+            s[~allow(qi, ii)] = -np.inf
         n = min(k + 1, s.shape[1])
         pick = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(qi), 1))
         low = np.take_along_axis(s, pick, 1).min(axis=1)

@@ -209,21 +209,10 @@ SELECT query_id, note_id, round(s, 6) AS score, rank FROM (SELECT *, row_number(
 def resurfacing(spark, sf, limit: int = 3):
     """Older notes (of a lower id here) that a paragraph calls to mind and its note doesn't link."""
     _, means = passages(spark, sf)
-    adj = note_graph(spark, sf)
     q = asked(spark, sf)
-
-    def emit(qi, q_, ii, m):
-        import numpy as np
-        import pandas as pd
-
-        s = np.round(q_ @ m.T, 12)
-        x, y = np.nonzero(ii[None, :] < qi[:, None] // 4)
-        return pd.DataFrame({"query_id": qi[x], "note_id": ii[y], "s": s[x, y]})
-
-    older = S.grid(q, means, emit, "query_id long, note_id long, s double", i_id="note_id").withColumn("node", F.floor(F.col("query_id") / 4))
-    older = older.join(adj.select("node", F.col("nbr").alias("note_id")), ["node", "note_id"], "left_anti")
-    out = G.top(older, ["query_id"], [F.col("s").desc(), F.col("note_id")], limit)
-    return out.select("query_id", "note_id", F.round("s", 6).alias("score"), "rank")
+    linked = q.select(F.col("vec_id").alias("src"), F.floor(F.col("vec_id") / 4).alias("node")).join(note_graph(spark, sf), "node").select("src", F.col("nbr").alias("dst"))
+    out = S.top_k(q, means, limit, "vec_id", "note_id", itself=True, without=linked, allow=lambda qi, ii: ii[None, :] < qi[:, None] // 4)
+    return out.select(F.col("src").alias("query_id"), F.col("dst").alias("note_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("r8_sampled_csls", f"WITH {PASSAGES}, {_NSIMS}, rd AS (SELECT src, avg(s) AS r FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS n FROM ns WHERE dst % 5 = 0) WHERE n <= 10 GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, dst) AS n FROM ns) SELECT k.src, k.dst, round(2 * s - x.r - y.r, 6) AS csls FROM k JOIN rd x ON x.src = k.src JOIN rd y ON y.src = k.dst WHERE n <= 20".replace(", rd AS (SELECT src,", ", radius AS (SELECT src,").replace("JOIN rd x", "JOIN radius x").replace("JOIN rd y", "JOIN radius y"))

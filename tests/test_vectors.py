@@ -69,3 +69,40 @@ def test_kmeans_cost_falls_and_finds_planted_groups(spark):
     assert all(a >= b - 1e-9 for a, b in zip(costs, costs[1:], strict=False))
     by = {r.vec_id: r.cluster for r in got.collect()}
     assert all(len({by[20 * g + i] for i in range(20)}) == 1 for g in range(3)) and len(set(by.values())) == 3
+
+
+def test_link_metric(spark):
+    import numpy as np
+
+    from relata.operators import metric
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(i, (7 * i + 3) % 60) for i in range(60)]
+    df = spark.createDataFrame([(x[a].tolist(), x[b].tolist()) for a, b in pairs] + [([1.0], x[0].tolist()), (None, None)], "a array<double>, b array<double>")
+    found, values = metric.difference_directions(df, 2)
+    d = np.array([x[a] - x[b] for a, b in pairs])
+    moment = d.T @ d / len(d)
+    assert np.allclose(moment @ found.T, found.T * values) and np.allclose(values, np.linalg.eigvalsh(moment)[::-1][:2])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>")
+    hard = np.array([r.vec for r in metric.reweighted(rows, found, values).orderBy("vec_id").collect()])
+    want = x - (x @ found.T) @ found
+    assert np.allclose(hard, want / np.linalg.norm(want, axis=1, keepdims=True))
+    soft = np.array([r.vec for r in metric.reweighted(rows, found, values, 0.05).orderBy("vec_id").collect()])
+    want = x + sum((x @ f)[:, None] * (1 / np.sqrt(v / values[0] + 0.05) - 1) * f for f, v in zip(found, values, strict=True))
+    assert np.allclose(soft, want / np.linalg.norm(want, axis=1, keepdims=True))
+    none = metric.difference_directions(df.where("false"), 2)
+    assert metric.reweighted(rows, *none).count() == 60
+
+
+def test_attributed_and_allowed_pairs(spark):
+    from relata.functions import vectors as V
+    from relata.operators import similarity as S
+
+    df = spark.createDataFrame([(1, [3.0, 4.0], [0.0, 1.0]), (2, [3.0, 4.0], None)], "vec_id long, vec array<double>, around array<double>")
+    got = {r.vec_id: r.v for r in df.select("vec_id", V.attributed("vec", "around", 0.0).alias("v")).collect()}
+    assert got == {1: [0.6, 0.8, 0.0, 0.0], 2: [3.0, 4.0]}
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, vec array<double>")
+    near = S.top_k(items, items, 2, allow=lambda q, i: i[None, :] < q[:, None])
+    assert sorted((r.src, r.dst) for r in near.collect()) == [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 2), (4, 3)]
