@@ -85,6 +85,11 @@ pl AS (SELECT DISTINCT doc_id, t, l FROM (SELECT doc_id, l, unnest({text_queries
 df AS (SELECT t, count(DISTINCT doc_id) AS df FROM pl GROUP BY 1 HAVING count(DISTINCT doc_id) BETWEEN 2 AND 3)"""
 
 
+def _few(keys, most: int = 2_000_000):
+    """Keys for a join: broadcast up to ``most`` of them, shuffled beyond."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 @query("i10_line_gates", f"""WITH {_KEPT}, r AS (SELECT pl.* FROM pl JOIN df USING (t)), tk AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.t FROM r a JOIN r b ON a.t = b.t AND a.doc_id < b.doc_id),
 copied AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.t FROM r a JOIN r b ON a.t = b.t AND a.l = b.l AND a.doc_id < b.doc_id WHERE length(a.l) >= 30)
 SELECT a, b, count(*) AS shared, min(t) AS first FROM tk LEFT JOIN copied c USING (a, b, t) WHERE c.t IS NULL GROUP BY 1, 2""")
@@ -94,16 +99,23 @@ def line_gates(spark, sf, copies: int = 3, line_chars: int = 30, token_chars: in
     Gates: a folded line of three documents or more is boilerplate; header-like lines go; a token counts
     for a pair only if no equal line of 30 characters brings it into both. Rare is two or three documents.
     """
-    lines = R.doclines(spark, sf).select("doc_id", T.fold("line").alias("l"), T.header_like("line").alias("header"), (T.count_words(F.trim("line")) > 0).alias("said"))
-    lines = materialize(lines.groupBy("l", "doc_id").agg(F.min("header").alias("header"), F.max("said").alias("said")), "lines")
-    common = lines.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= copies).select("l")
-    kept = lines.where("said and not header").join(common, "l", "left_anti")
-    said = kept.select("doc_id", "l", F.explode(F.array_distinct(F.filter(T.tokens("l"), lambda t: F.length(t) >= token_chars))).alias("t"))
-    rare = said.groupBy("t").agg(F.count_distinct("doc_id").alias("df")).where("df between 2 and 3").select("t")
-    r = materialize(said.join(rare, "t"), "rare")
-    other = r.select("t", F.col("doc_id").alias("b"), F.col("l").alias("m"))
+    lines = R.doclines(spark, sf).select("doc_id", T.fold("line").alias("l"), (T.count_words(F.trim("line")) > 0).alias("said"), T.header_like("line").alias("header"))
+    lines = lines.withColumns({"h": F.xxhash64("l"), "g": F.xxhash64(F.lit(1), "l")})
+    common = materialize(lines.groupBy("h", "g").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= copies).select("h", "g"), "common")
+    kept = lines.where("said and not header").join(_few(common), ["h", "g"], "left_anti")
+    # a line stands as a hash of 64 bits from here on: it is only compared within a token of three documents
+    said = kept.select("doc_id", F.when(F.length("l") >= line_chars, F.col("h")).alias("h"), F.explode(F.array_distinct(F.filter(T.tokens("l"), lambda t: F.length(t) >= token_chars))).alias("t"))
+    said = materialize(said, "said")
+    # tokens of two documents or more that have at most three of 64 bits: all the rare ones, and few others
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+    maybe = said.groupBy("t").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bit_or(bit).alias("bits"))
+    maybe = materialize(maybe.where((F.col("a") < F.col("b")) & (F.bit_count("bits") <= 3)).select("t"), "maybe")
+    r = materialize(said.join(_few(maybe), "t").select("t", "doc_id", "h").distinct(), "rare")
+    rare = r.groupBy("t").agg(F.count_distinct("doc_id").alias("df")).where("df between 2 and 3").select("t")
+    r = r.join(rare, "t", "left_semi")
+    other = r.select("t", F.col("doc_id").alias("b"), F.col("h").alias("m"))
     each = r.withColumnRenamed("doc_id", "a").join(other, "t").where("a < b")
-    each = each.groupBy("a", "b", "t").agg(F.max((F.col("l") == F.col("m")) & (F.length("l") >= line_chars)).alias("copied"))
+    each = each.groupBy("a", "b", "t").agg(F.max(F.coalesce(F.col("h") == F.col("m"), F.lit(False))).alias("copied"))
     return each.where("not copied").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("t").alias("first"))
 
 
