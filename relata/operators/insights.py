@@ -18,8 +18,8 @@ def template_groups(headings: DataFrame, least: int = 3, ceiling: int | None = N
     heading that all notes have makes one row a note, not a row for each two notes. The ceiling is 30
     or a twentieth of the notes, whichever is more.
     """
-    h = headings.select("note_id", F.lower(F.trim("heading")).alias("h")).distinct()
-    n = h.select("note_id").distinct().count() if ceiling is None else 0
+    h = headings.select("note_id", T.lower(T.trim("heading")).alias("h")).distinct()
+    n = h.where("note_id is not null").select("note_id").distinct().count() if ceiling is None else 0
     most = max(30, int(0.05 * n + 0.5)) if ceiling is None else ceiling
     pairs = h.join(h.select("note_id", F.col("h").alias("g")), "note_id").where("h < g").select("note_id", F.xxhash64("h", "g").alias("pair"))
     first = pairs.groupBy("pair").agg(F.min("note_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -40,7 +40,7 @@ def decrowd(vectors: DataFrame, groups: DataFrame, id_col: str = "note_id", vec:
 
 def receipt(text: Column, token: Column, reach: int = 90) -> Column:
     """The text around the first place of a token, with dots where it is cut."""
-    at = F.instr(F.lower(text), token)
+    at = F.instr(T.lower(text), token)
     lo = F.greatest(F.lit(1), at - reach)
     hi = F.least(F.length(text), at + F.length(token) - 1 + reach)
     cut = F.concat(F.when(lo > 1, "…").otherwise(""), F.substring(text, lo, hi - lo + 1), F.when(hi < F.length(text), "…").otherwise(""))
@@ -49,7 +49,7 @@ def receipt(text: Column, token: Column, reach: int = 90) -> Column:
 
 def bridge_sentence(text: Column, bridge: Column, least: int = 25, most: int = 260) -> Column:
     """The first sentence of ``least`` characters that names the bridge."""
-    kept = F.filter(T.sentences(text), lambda s: (F.length(s) >= least) & F.contains(F.lower(s), F.lower(bridge)))
+    kept = F.filter(T.sentences(text), lambda s: (F.length(s) >= least) & F.contains(T.lower(s), T.lower(bridge)))
     return F.substring(F.try_element_at(kept, F.lit(1)), 1, most)
 
 
