@@ -16,12 +16,16 @@ each half, and only the radius ``radius // 2`` enters its triangle bounds.
 Components of these links, with the least id of each, are the duplicate groups of ``groups``.
 
 ``similar_groups`` finds texts whose sets of k-word shingles have a Jaccard similarity of ``similarity``
-or more. Two such texts differ in about 15 % of their fingerprint bits at 0.8, too many for one radius
-that prunes. So a text has FULL bits in TABLES words of 32; two texts of similarity 0.8 are within 3
-bits in one of the eight words with probability 0.92, at 0.85 with 0.985, at 0.9 with 0.999. Each word
-is searched by two trees as above, one for each 16 bits. In a shard the pairs that are near in a word
+or more, in two steps. Two such texts differ in about 15 % of their fingerprint bits at 0.8, too many for
+one radius that prunes. So a text has FULL bits in TABLES words of 32; two texts of similarity 0.8 are
+within 3 bits in one of the eight words with probability 0.92, at 0.85 with 0.985, at 0.9 with 0.999. Each
+word is searched by two trees as above, one for each 16 bits. In a shard the pairs that are near in a word
 are held against all FULL bits (three standard deviations beyond the expectation), the near ones
 first, and a spanning forest of them goes on; every edge of it is verified on the two shingle sets.
+
+This brings most copies into groups. What it misses is then sought exactly, between different groups
+only: two such sets share one of the first fifth of their shingles in any order, so sets meet under
+these (``crossing``), pairs that their sizes and places don't exclude are verified, and join their groups.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ TABLES = 8
 FULL = 32 * TABLES
 SIMILAR_LEAF = 1 << 16
 BROADCAST_IDS = 1_000_000
+#: Shingles that more than ORDER_OFTEN of one in ORDER_SHARE nodes have among their first come last.
+ORDER_SHARE = 16
+ORDER_OFTEN = 8
 _WORDS = tuple(f"f{j}" for j in range(FULL // 64))
 
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
@@ -361,27 +368,111 @@ def shingle_sets(docs: DataFrame, keep: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(keep).alias("keep"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, node, component, first): rows with the hash of their fingerprint, their group, and its least (id, node).
+def _least_texts(docs: DataFrame, held: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
+    """(least, ..., text) of the rows whose id is the ``least`` of ``held``, which has ``n`` rows."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    return texts.join(F.broadcast(held) if n <= BROADCAST_IDS else held, F.col("id").eqNullSafe(F.col("least"))).drop("id")
 
-    Rows without a word are one group. A null id is less than any other.
-    """
-    rows = fingerprints(docs, text, k, (id_col,), _WORDS).withColumnRenamed(id_col, "id")
-    rows = materialize(rows.withColumn("node", F.xxhash64(*_WORDS)), "similar")
-    points = materialize(rows.groupBy("node", *_WORDS).agg(F.min(F.struct("id"))["id"].alias("least"), F.count(F.lit(1)).alias("n")), "points")
-    edges = materialize(similar_links(points, similarity), "edges")
+
+def verified(docs: DataFrame, points: DataFrame, edges: DataFrame, id_col: str, text: str, k: int, similarity: float) -> DataFrame:
+    """Those ``edges`` whose shingle sets have the similarity."""
+    edges = materialize(edges, "edges")
     mine = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     # one document of each point in question; any text of a point has its fingerprint
     n = mine.count()
     held = points.join(F.broadcast(mine) if n <= BROADCAST_IDS else mine, "node", "left_semi").groupBy("least").agg(F.collect_set("node").alias("nodes"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(held) if n <= BROADCAST_IDS else held, F.col("id").eqNullSafe(F.col("least"))).select(F.struct("least", "nodes").alias("held"), "text")
+    texts = _least_texts(docs, held, n, id_col, text).select(F.struct("least", "nodes").alias("held"), "text")
     known = fingerprints(texts, "text", k, ("held", "text"), _WORDS).withColumn("node", F.xxhash64(*_WORDS))
     known = materialize(known.where(F.array_contains("held.nodes", F.col("node"))).dropDuplicates(["node"]).select("node", "text"), "known")
     sets = materialize(shingle_sets(known, "node", "text", k), "sets")
     both = edges.join(sets.select(F.col("keep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("keep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    good = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def prefixes(texts: DataFrame, k: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """(token, node, label, size, at): the first shingles of each set, those of ``last`` after all others.
+
+    Of two sets of the similarity the first shingle in common is among the first size - need + 1 of each,
+    where need is the least number that a set of this size shares with such another; that holds in any order.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in words.blocks(batch, "text"):
+                w = words.split(b.column("text"), lower=True)
+                start, end, first = words.shingles(w, k)
+                h = words.xxh64(w.buf, start, end).view(np.int64)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(first))
+                late = np.isin(h, sent.value)
+                order = np.lexsort((h, late, owner))
+                h, owner = h[order], owner[order]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
+                h, owner = h[new], owner[new]
+                size = np.bincount(owner, minlength=b.num_rows)
+                at = np.arange(len(h)) - (np.cumsum(size) - size)[owner]
+                keep = at <= size[owner] - np.ceil(similarity * size - 1e-9).astype(np.int64)[owner]
+                h, owner, at = h[keep], owner[keep], at[keep]
+                rows = pa.array(owner)
+                for lo in range(0, len(h), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part]), b.column("node").take(rows[part]), b.column("label").take(rows[part]), pa.array(size[owner[part]]), pa.array(at[part])], names=["token", "node", "label", "size", "at"])
+
+    return texts.select("node", "label", "text").mapInArrow(run, "token long, node long, label long, size long, at long")
+
+
+def crossing(docs: DataFrame, found: DataFrame, id_col: str, text: str, k: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels that may have the similarity: none that has it is left out.
+
+    ``found`` has (node, least, label). Nodes meet under the first shingles of their sets. Frequent shingles
+    come last, so that few sets meet under them; they are known from a part of the nodes, as any order does.
+    """
+    held = materialize(found.groupBy("least").agg(F.collect_list(F.struct("node", "label")).alias("nodes")), "held")
+    texts = _least_texts(docs, held, held.count(), id_col, text)
+    one = texts.where(F.size("nodes") == 1).select("nodes.node", "nodes.label", "text").select(F.col("node")[0].alias("node"), F.col("label")[0].alias("label"), "text")
+    if not held.where(F.size("nodes") > 1).isEmpty():
+        # texts of one id are told apart by their fingerprints
+        several = texts.where(F.size("nodes") > 1).select(F.struct("least", "nodes").alias("held"), "text")
+        several = fingerprints(several, "text", k, ("held", "text"), _WORDS).withColumn("node", F.xxhash64(*_WORDS))
+        mine = several.select("node", F.filter("held.nodes", lambda x: x["node"] == F.col("node"))["label"].alias("labels"), "text")
+        one = one.unionByName(mine.where(F.size("labels") > 0).select("node", F.col("labels")[0].alias("label"), "text"))
+    texts = one
+    some = F.pmod(F.xxhash64("node"), F.lit(ORDER_SHARE)) == 0
+    often = prefixes(texts.where(some), k, similarity, np.zeros(0, np.int64)).groupBy("token").count().where(F.col("count") > ORDER_OFTEN)
+    last = often.orderBy(F.desc("count"), "token").limit(100_000).select("token").toPandas()["token"].to_numpy(np.int64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, _ in words.by_key(batches, 1 << 62):
+            token, node, label, size, at = map(np.asarray, columns)
+            i = np.arange(len(token))
+            for step in range(1, len(token)):
+                i = i[i < len(token) - step]
+                i = i[token[i] == token[i + step]]
+                if not len(i):
+                    break
+                j = i + step
+                need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
+                ok = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
+                if ok.any():
+                    x, y = node[i[ok]], node[j[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = prefixes(texts, k, similarity, last).repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(meet, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, node, component, first): rows with the hash of their fingerprint, their group, and its least (id, node).
+
+    Rows without a word are one group. A null id is less than any other.
+    """
+    rows = fingerprints(docs, text, k, (id_col,), _WORDS).withColumnRenamed(id_col, "id")
+    rows = materialize(rows.withColumn("node", F.xxhash64(*_WORDS)), "similar")
+    points = materialize(rows.groupBy("node", *_WORDS).agg(F.min(F.struct("id"))["id"].alias("least"), F.count(F.lit(1)).alias("n")), "points")
+    good = materialize(verified(docs, points, similar_links(points, similarity), id_col, text, k, similarity), "good")
+    found = materialize(points.select("node", "least").join(components(good), "node", "left").withColumn("label", F.coalesce("label", "node")), "found")
+    good = good.unionByName(verified(docs, points, crossing(docs, found, id_col, text, k, similarity), id_col, text, k, similarity))
     label = components(good)
     named = points.select("node", "least", "n").join(label, "node", "left").withColumn("component", F.coalesce("label", "node"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("least").alias("id"), "node")).alias("first"))
