@@ -52,6 +52,8 @@ BROADCAST_IDS = 1_000_000
 #: Shingles that more than ORDER_OFTEN of one in ORDER_SHARE nodes have among their first come last.
 ORDER_SHARE = 16
 ORDER_OFTEN = 8
+#: A power of two; the numbers of a set's shingles in so many buckets bound what it shares.
+BUCKETS = 256
 _WORDS = tuple(f"f{j}" for j in range(FULL // 64))
 
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
@@ -352,8 +354,8 @@ def similar_links(points: DataFrame, similarity: float, leaf: int = SIMILAR_LEAF
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def shingle_sets(docs: DataFrame, keep: str, text: str, k: int) -> DataFrame:
-    """(keep, size, shingles): the different hashes of k-word shingles of each text, sorted."""
+def shingle_sets(docs: DataFrame, keep: str, text: str, k: int, buckets: int = 0) -> DataFrame:
+    """(keep, shingles): the different hashes of k-word shingles of each text, sorted; or their number by bucket."""
     schema = docs.select(F.col(keep).alias("keep"), F.array().cast("array<long>").alias("shingles")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +365,8 @@ def shingle_sets(docs: DataFrame, keep: str, text: str, k: int) -> DataFrame:
                 start, end, first = words.shingles(w, k)
                 h = words.xxh64(w.buf, start, end).view(np.int64)
                 sets = [np.unique(h[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                if buckets:
+                    sets = [np.bincount(x & (buckets - 1), minlength=buckets) for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["keep", "shingles"])
 
     return docs.select(F.col(keep).alias("keep"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
@@ -384,8 +388,21 @@ def verified(docs: DataFrame, points: DataFrame, edges: DataFrame, id_col: str,
     texts = _least_texts(docs, held, n, id_col, text).select(F.struct("least", "nodes").alias("held"), "text")
     known = fingerprints(texts, "text", k, ("held", "text"), _WORDS).withColumn("node", F.xxhash64(*_WORDS))
     known = materialize(known.where(F.array_contains("held.nodes", F.col("node"))).dropDuplicates(["node"]).select("node", "text"), "known")
-    sets = materialize(shingle_sets(known, "node", "text", k), "sets")
-    both = edges.join(sets.select(F.col("keep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("keep").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def beside(edges: DataFrame, values: DataFrame) -> DataFrame:
+        """``edges`` with the arrays of both ends as x and y."""
+        x, y = (values.select(F.col("keep").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+        return edges.join(x, "a").join(y, "b")
+
+    # sets are large: first the pairs go that can't share enough by the numbers of their shingles in each bucket
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, v: acc + v)
+    counted = beside(edges, materialize(shingle_sets(known, "node", "text", k, BUCKETS), "counts"))
+    most = total(F.zip_with("x", "y", lambda u, v: F.least(u, v)))
+    edges = materialize(counted.where((1 + similarity) * most >= similarity * (total("x") + total("y")) - 1e-6).select("a", "b"), "likely")
+    mine = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    n = mine.count()
+    known = known.join(F.broadcast(mine) if n <= BROADCAST_IDS else mine, "node", "left_semi")
+    both = beside(edges, materialize(shingle_sets(known, "node", "text", k), "sets"))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
