@@ -26,6 +26,9 @@ first, and a spanning forest of them goes on; every edge of it is verified on th
 This brings most copies into groups. What it misses is then sought exactly, between different groups
 only: two such sets share one of the first fifth of their shingles in any order, so sets meet under
 these (``crossing``), pairs that their sizes and places don't exclude are verified, and join their groups.
+Under a shingle with over PAIRS such pairs a set no pair is written, but a forest that connects the sets.
+Sets so connected are a cluster, all pairs of which are counted (``clustered``): the sets are dealt into
+parts, any two parts meet in a task that multiplies them, and a spanning forest of its links goes on.
 """
 
 from __future__ import annotations
@@ -54,6 +57,15 @@ ORDER_SHARE = 16
 ORDER_OFTEN = 8
 #: A power of two; the numbers of a set's shingles in so many buckets bound what it shares.
 BUCKETS = 256
+#: More pairs a set than this under one shingle are not written out; so many sets at most are held against each other.
+PAIRS = 16
+MEET = 1024
+#: Sets and shingles of a part of a cluster, on average.
+PART = 1024
+PART_SHINGLES = 400_000
+#: Shingles of more sets of a task than this are multiplied as a table, of so many columns at once; others are paired.
+TABLED = 16
+COLUMNS = 2048
 _WORDS = tuple(f"f{j}" for j in range(FULL // 64))
 
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
@@ -439,10 +451,10 @@ def prefixes(texts: DataFrame, k: int, similarity: float, last: np.ndarray) -> D
     return texts.select("node", "label", "text").mapInArrow(run, "token long, node long, label long, size long, at long")
 
 
-def crossing(docs: DataFrame, found: DataFrame, id_col: str, text: str, k: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels that may have the similarity: none that has it is left out.
+def crossing(docs: DataFrame, found: DataFrame, id_col: str, text: str, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes of different labels that may have the similarity, and links (a, b) that have it.
 
-    ``found`` has (node, least, label). Nodes meet under the first shingles of their sets. Frequent shingles
+    None that has it is left out, but that the links are a forest. ``found`` has (node, least, label). Nodes meet under the first shingles of their sets. Frequent shingles
     come last, so that few sets meet under them; they are known from a part of the nodes, as any order does.
     """
     held = materialize(found.groupBy("least").agg(F.collect_list(F.struct("node", "label")).alias("nodes")), "held")
@@ -459,24 +471,114 @@ def crossing(docs: DataFrame, found: DataFrame, id_col: str, text: str, k: int,
     often = prefixes(texts.where(some), k, similarity, np.zeros(0, np.int64)).groupBy("token").count().where(F.col("count") > ORDER_OFTEN)
     last = often.orderBy(F.desc("count"), "token").limit(100_000).select("token").toPandas()["token"].to_numpy(np.int64)
 
+    def may_be(label, size, at, i, j):
+        need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
+        return (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, _ in words.by_key(batches, 1 << 62):
             token, node, label, size, at = map(np.asarray, columns)
-            i = np.arange(len(token))
-            for step in range(1, len(token)):
+            new = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            many = np.diff(np.append(new, len(token)))
+            small = np.repeat(many <= 2 * PAIRS + 1, many)
+            found = []
+            i = np.flatnonzero(small)
+            for step in range(1, 2 * PAIRS + 1):
                 i = i[i < len(token) - step]
                 i = i[token[i] == token[i + step]]
                 if not len(i):
                     break
-                j = i + step
-                need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
-                ok = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
-                if ok.any():
-                    x, y = node[i[ok]], node[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                ok = may_be(label, size, at, i, i + step)
+                found.append((i[ok], i[ok] + step, False))
+            for lo, n in zip(new[many > 2 * PAIRS + 1].tolist(), many[many > 2 * PAIRS + 1].tolist(), strict=True):
+                if n > MEET:
+                    # in the order of their sizes: whatever may have the similarity is connected
+                    order = lo + np.argsort(size[lo : lo + n], kind="stable")
+                    i, j = order[:-1], order[1:]
+                    ok = size[i] >= similarity * size[j] - 1e-9
+                    found.append((i[ok], j[ok], True))
+                    continue
+                i, j = (lo + x for x in np.triu_indices(n, 1))
+                ok = may_be(label, size, at, i, j)
+                i, j = i[ok], j[ok]
+                if crowded := len(i) > PAIRS * n:
+                    used = _Forest(n).span(i - lo, j - lo)
+                    i, j = i[used], j[used]
+                found.append((i, j, crowded))
+            for i, j, crowded in found:
+                if len(i):
+                    x, y = node[i], node[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(i), crowded))], names=["a", "b", "crowded"])
 
     rows = prefixes(texts, k, similarity, last).repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(meet, "a long, b long").distinct()
+    met = materialize(rows.mapInArrow(meet, "a long, b long, crowded boolean").distinct(), "met")
+    cluster = materialize(components(met.where("crowded")), "cluster")
+    few = F.broadcast if cluster.count() <= BROADCAST_IDS else lambda x: x
+    # pairs of a cluster are all counted there
+    end = lambda x: few(cluster.select(F.col("node").alias(x), F.col("label").alias(f"{x}_in")))
+    pairs = met.where("not crowded").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    pairs = pairs.where("a_in is null or b_in is null or a_in <> b_in").select("a", "b")
+    return pairs, clustered(texts.join(few(cluster.withColumnRenamed("label", "cluster")), "node"), k, similarity)
+
+
+def shared_counts(left: np.ndarray, right: np.ndarray, token: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Tokens that each of the owners ``left`` has in common with each of ``right``; (token, owner) are distinct."""
+    n = int(max(left.max(initial=0), right.max(initial=0))) + 1
+    out = np.zeros((n, n), np.int32)
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, bool)
+    many = np.diff(np.append(np.flatnonzero(new), len(token)))
+    count = np.repeat(many, many)
+    few = owner[count <= TABLED], (np.cumsum(new) - 1)[count <= TABLED]
+    for step in range(TABLED):
+        ok = few[1][step:] == few[1][: len(few[1]) - step]
+        if not ok.any():
+            break
+        i, j = few[0][: len(ok)][ok], few[0][step:][ok]
+        out += np.bincount(i * n + j, minlength=n * n).reshape(n, n).astype(np.int32)
+    out += np.triu(out, 1).T
+    out = out[np.ix_(left, right)]
+    mine, column = owner[count > TABLED], (np.cumsum(many > TABLED) - 1)[(np.cumsum(new) - 1)[count > TABLED]]
+    for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[mine[a:b], column[a:b] - lo] = 1
+        out += (table[left] @ table[right].T).astype(np.int32)
+    return out
+
+
+def clustered(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): a forest of the links of nodes of one cluster and different labels; ``texts`` has (node, label, text, cluster).
+
+    A cluster of n parts makes n rows of each set: any two parts meet in one task.
+    """
+    sets = shingle_sets(texts.select(F.struct("node", "label", "cluster").alias("held"), "text"), "held", "text", k)
+    sets = materialize(sets.select("keep.*", "shingles"), "clustered")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum(F.size("shingles").cast("long")) / PART_SHINGLES)).cast("long")
+    dealt = sets.join(sets.groupBy("cluster").agg(parts.alias("parts")), "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    key = F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other"))
+    rows = dealt.select(key.alias("key"), "node", "label", F.signum(F.col("other") - F.col("part")).cast("int").alias("side"), "shingles")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, _ in words.by_key(batches, 1 << 62):
+            key, node, label, side = map(np.asarray, columns[:4])
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+                lists = columns[4].slice(lo, hi - lo)
+                size = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+                n, s = hi - lo, side[lo:hi]
+                left, right = np.flatnonzero(s >= 0), np.flatnonzero(s <= 0)
+                shared = shared_counts(left, right, np.asarray(lists.flatten()), np.repeat(np.arange(n), size))
+                x, y = np.nonzero((shared > 0) & (shared >= similarity * (size[left][:, None] + size[right][None, :] - shared)))
+                x, y = left[x], right[y]
+                _, mine = np.unique(label[lo:hi], return_inverse=True)
+                used = _Forest(n).span(mine[x], mine[y])
+                x, y = node[lo + x[used]], node[lo + y[used]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(count, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -489,7 +591,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     points = materialize(rows.groupBy("node", *_WORDS).agg(F.min(F.struct("id"))["id"].alias("least"), F.count(F.lit(1)).alias("n")), "points")
     good = materialize(verified(docs, points, similar_links(points, similarity), id_col, text, k, similarity), "good")
     found = materialize(points.select("node", "least").join(components(good), "node", "left").withColumn("label", F.coalesce("label", "node")), "found")
-    good = good.unionByName(verified(docs, points, crossing(docs, found, id_col, text, k, similarity), id_col, text, k, similarity))
+    pairs, more = crossing(docs, found, id_col, text, k, similarity)
+    good = good.unionByName(verified(docs, points, pairs, id_col, text, k, similarity)).unionByName(more)
     label = components(good)
     named = points.select("node", "least", "n").join(label, "node", "left").withColumn("component", F.coalesce("label", "node"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("least").alias("id"), "node")).alias("first"))
